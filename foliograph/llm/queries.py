@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash
+from . import langid, mixing, packing, quality, simhash
 from .common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "score")
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    langs, profiles = langid.prototypes(docs.where(~held & F.col("doc_id").isNotNull()))
+    out = langid.predict(docs.select(F.struct("doc_id", held.alias("held")).alias("doc"), "text"), langs, profiles, "doc")
+    return out.select("id.doc_id", F.col("id.held").alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
@@ -25,6 +38,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op4_langid": op4_langid,
     "op5_packing": op5_packing,
     "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
