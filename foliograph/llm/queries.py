@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, packing, quality, simhash
+from . import ann, htmltext, langid, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "score")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -44,6 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_ann": op3_ann,
     "op4_langid": op4_langid,
     "op5_packing": op5_packing,
     "op7_htmltext": op7_htmltext,
