@@ -33,6 +33,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``materialise`` that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def text_slices(batch, column: int, rows: int = 256, size: int = 4 << 20):
     """(start, texts) for slices of an Arrow batch, bounded by rows and by bytes, so that few Python strings live at once."""
     import numpy as np
