@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, langid, mixing, packing, quality, simhash, suffixes
+from . import ann, htmltext, langid, licenses, lmscore, mixing, packing, quality, simhash, suffixes
 from .common import table
 
 
+def op1_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    out = lmscore.score_documents(table(spark, sf_dir, "documents"), good)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "score")
@@ -32,6 +38,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_hits(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("hits", lambda h: h["probability"]))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["family"]))), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_paragraphs", F.size("hits").cast("long").alias("n_hits"), families.alias("families"), best.alias("probability"))
+
+
 def op7_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = htmltext.extract(table(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -54,10 +67,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lmscore": op1_lmscore,
     "op2_quality": op2_quality,
     "op3_ann": op3_ann,
     "op4_langid": op4_langid,
     "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
     "op7_htmltext": op7_htmltext,
     "op8_simhash": op8_simhash,
     "op9_suffixes": op9_suffixes,
