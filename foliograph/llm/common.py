@@ -33,6 +33,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``rows`` rows, else as it is: joins then shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def repeats_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id stands in two rows; reads only the id column."""
+    return bool(docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialise`` that nothing will read again."""
     jvm = df.sparkSession._jvm

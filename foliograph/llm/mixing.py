@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, measured, repeats_ids
 
 BUCKETS = 4096
 
@@ -108,10 +108,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows that repeat an id and size share the mean of their copies, rounded by rank.
     """
     copies = mix_copies(docs, id_col, text_col, source_col, weights, cap)
-    key = Window.partitionBy("id", "source", "size").orderBy("copies")
-    plan = copies.withColumn("nth", F.row_number().over(key)).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("__copies"))
-    with_size = docs.withColumn("__s", word_count(F.col(text_col)))
-    here = with_size.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, F.col(source_col).cast("string"), "__s").orderBy(F.xxhash64(text_col))))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__size")) & (F.col("__n") == F.col("__nth"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("__copies")
+    if repeats_ids(docs, id_col):
+        key = Window.partitionBy("id", "source", "size").orderBy("copies")
+        plan = copies.withColumn("nth", F.row_number().over(key)).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), times)
+        here = docs.withColumn("__s", word_count(F.col(text_col)))
+        here = here.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, F.col(source_col).cast("string"), "__s").orderBy(F.xxhash64(text_col))))
+        on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__size")) & (F.col("__n") == F.col("__nth"))
+    else:
+        here, plan = docs, measured(materialise(copies.select(F.col("id").alias("__id"), times), "mix-plan"))
+        on = F.col(id_col).eqNullSafe(F.col("__id"))
     joined = here.join(plan, on).where("__copies > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices
+from .common import materialise, measured, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -186,4 +186,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that the rules reject. A repeated id stays if one of its rows is kept."""
     kept = quality_scores(docs, labels, id_col, text_col, **options).where("kept").select(F.col("id").alias("__id")).distinct()
+    kept = measured(materialise(kept, "kept"))
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")

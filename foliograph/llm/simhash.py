@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, text_slices
+from .common import connected_components, materialise, measured, repeats_ids, text_slices
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -149,7 +149,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row whose id is null stays only where its whole component has no id.
     """
-    comp = simhash_components(docs.select(id_col, text_col), id_col, text_col, max_bits)
-    keep = comp.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
+    comp = materialise(simhash_components(docs.select(id_col, text_col), id_col, text_col, max_bits), "components")
+    keep = measured(comp.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct())
     out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates([id_col])
+    return out.dropDuplicates([id_col]) if repeats_ids(docs, id_col) else out
