@@ -5,8 +5,9 @@ vector says how often it stands on each page of its host; vectors are compared b
 (page, count) pairs, so they are aggregated on the map side and a host of any size needs one row a
 token. Tokens with one vector form an equivalence class. Classes that stand on at least half of a
 host's pages are the template; they nest along element paths, the root class being the one of the
-body, on every page. Text in the root class is part of the template. What remains is slots, the
-text under each path. A slot's kind is decided once a host, from the names on its path and, where
+body, on every page. Text in the root class is part of the template; it is left out where a page
+marks no article, unless the page has nothing else (its host has copies of one page only). What
+remains is slots, the text under each path. A slot's kind is decided once a host, from the names on its path and, where
 a host marks no article, from the share of its characters inside links over all pages. Pages are
 then read again, and the blocks of main slots are kept in page order.
 
@@ -262,7 +263,7 @@ def main_text(read: Reader, html: str, main: set[int], other: set[int], fixed: s
     """The main slots' blocks of one page, joined by newlines. Paths the template doesn't have are judged on this page."""
     blocks, _ = read.blocks(html)
     marked = any(b[3] and not b[2] for b in blocks)
-    out = []
+    out, fix = [], []
     for path, text, around, in_main, links in blocks:
         key = _signed(path)
         if key in main:
@@ -271,9 +272,10 @@ def main_text(read: Reader, html: str, main: set[int], other: set[int], fixed: s
             keep = not around and in_main
         else:
             keep = not around and (in_main if marked else links <= max_links * len(text))
-        if keep and not (fixed and _signed(_hash(text) or 1) in fixed):
+        if keep:
             out.append(text)
-    return "\n".join(out)
+            fix.append(not marked and bool(fixed) and _signed(_hash(text) or 1) in fixed)
+    return "\n".join(out if all(fix) else [t for t, f in zip(out, fix) if not f])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 4 << 20, salts: int = 32, **options) -> DataFrame:
