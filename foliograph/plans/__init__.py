@@ -1,0 +1,3 @@
+"""Queries; importing this package registers all of them."""
+
+from . import catalogue, more  # noqa: F401

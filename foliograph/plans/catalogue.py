@@ -304,8 +304,8 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY round
 def hybrid_episodic(spark, sf_dir):
     """Each user's events by bounded norm, overlap of their type with two query words, and recency, times a weight of the type."""
     events = table(spark, sf_dir, "events").withColumn("t", epoch("ts"))
-    span = events.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    e = events.join(F.broadcast(span))
+    a, b = events.agg(F.min("t"), F.max("t")).first()
+    e = events.select("*", F.lit(a).alias("a"), F.lit(b).alias("b"))
     overlap = T.jaccard(F.array("event_type"), F.array(F.lit("purchase"), F.lit("view")))
     recency = F.coalesce(F.try_divide(F.col("t") - F.col("a"), (F.col("b") - F.col("a")).cast("double")), F.lit(0.0))
     weight = F.when(F.col("event_type") == "purchase", 1.2).when(F.col("event_type") == "error", 1.05).otherwise(1.0)

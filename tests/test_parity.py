@@ -23,4 +23,5 @@ def test_query(spark, con, name):
         want = con.sql(catalogue.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
-    assert len(got)
+    else:
+        assert len(got)
