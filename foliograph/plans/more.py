@@ -347,15 +347,16 @@ def layer_edges(spark, sf_dir):
     return edge(docs, "has_source", "source").unionByName(edge(docs.where("lang is not null"), "has_lang", "lang")).unionByName(edge(labels, "has_label", "quality"))
 
 
-@query("SELECT DISTINCT n.n AS child, m.n AS parent FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS n FROM pages) n JOIN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS n FROM pages) m ON regexp_replace(n.n, '^[^.]*[.]', '') = m.n AND n.n <> m.n")
+@query("WITH t AS (SELECT DISTINCT p_type AS n FROM part UNION SELECT DISTINCT regexp_replace(p_type, ' [^ ]*$', '') FROM part WHERE p_partkey % 3 <> 0 UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part) SELECT c.n AS child, p.n AS parent FROM t c JOIN t p ON p.n = regexp_replace(c.n, ' [^ ]*$', '') AND p.n <> c.n")
 def taxonomy_edges(spark, sf_dir):
-    """Hosts and the host without their first part, if it is there too."""
-    host = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("child")).distinct()
-    up = host.withColumn("parent", F.regexp_replace("child", "^[^.]*[.]", ""))
-    return up.join(host.select(F.col("child").alias("parent")), "parent").where("child <> parent").select("child", "parent").distinct()
+    """Part types and the type without their last word, where that is a type too."""
+    part, up = table(spark, sf_dir, "part"), F.regexp_replace("p_type", " [^ ]*$", "")
+    names = part.select("p_type").union(part.where("p_partkey % 3 <> 0").select(up)).union(part.select(F.get(F.split("p_type", " "), F.lit(0)))).toDF("child").distinct()
+    named = names.withColumn("parent", F.regexp_replace("child", " [^ ]*$", "")).where("parent <> child")
+    return named.join(names.select(F.col("child").alias("parent")), "parent").select("child", "parent")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem), s AS (SELECT o_orderkey AS node, o_custkey AS c FROM orders), d AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT 'c' || src AS node FROM d WHERE dst = (SELECT min(s_suppkey) FROM supplier) UNION SELECT 's' || (SELECT min(s_suppkey) FROM supplier)""")
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT 'c' || src AS node FROM d WHERE dst = (SELECT min(s_suppkey) FROM supplier) UNION SELECT 's' || (SELECT min(s_suppkey) FROM supplier)""")
 def dependants(spark, sf_dir):
     """Everything that needs the first supplier, over the edges from customers to suppliers."""
     j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
