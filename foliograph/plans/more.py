@@ -347,11 +347,11 @@ def layer_edges(spark, sf_dir):
     return edge(docs, "has_source", "source").unionByName(edge(docs.where("lang is not null"), "has_lang", "lang")).unionByName(edge(labels, "has_label", "quality"))
 
 
-@query("WITH t AS (SELECT DISTINCT p_type AS n FROM part UNION SELECT DISTINCT regexp_replace(p_type, ' [^ ]*$', '') FROM part WHERE p_partkey % 3 <> 0 UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part) SELECT c.n AS child, p.n AS parent FROM t c JOIN t p ON p.n = regexp_replace(c.n, ' [^ ]*$', '') AND p.n <> c.n")
+@query("WITH t AS (SELECT DISTINCT p_name AS n FROM part UNION SELECT DISTINCT regexp_replace(p_name, ' [^ ]*$', '') FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) SELECT c.n AS child, p.n AS parent FROM t c JOIN t p ON p.n = regexp_replace(c.n, ' [^ ]*$', '') AND p.n <> c.n")
 def taxonomy_edges(spark, sf_dir):
-    """Part types and the type without their last word, where that is a type too."""
-    part, up = table(spark, sf_dir, "part"), F.regexp_replace("p_type", " [^ ]*$", "")
-    names = part.select("p_type").union(part.where("p_partkey % 3 <> 0").select(up)).union(part.select(F.get(F.split("p_type", " "), F.lit(0)))).toDF("child").distinct()
+    """Names and the name without their last word, where that is a name too."""
+    part, up = table(spark, sf_dir, "part"), F.regexp_replace("p_name", " [^ ]*$", "")
+    names = part.select("p_name").union(part.where("p_partkey % 3 = 0").select(up)).union(part.select(F.get(F.split("p_name", " "), F.lit(0)))).toDF("child").distinct()
     named = names.withColumn("parent", F.regexp_replace("child", " [^ ]*$", "")).where("parent <> child")
     return named.join(names.select(F.col("child").alias("parent")), "parent").select("child", "parent")
 
