@@ -40,8 +40,9 @@ def terms(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Lower-cased terms in order: words split at case changes and at ._/-+, without short ones, numbers and stopwords."""
     spaced = F.regexp_replace(empty(text), r"([a-z0-9])([A-Z])", "$1 $2")
     words = F.regexp_extract_all(spaced, F.lit(r"[A-Za-z][A-Za-z0-9_./+-]{2,}"), F.lit(0))
-    pieces = F.flatten(F.transform(words, lambda w: F.split(F.lower(w), r"[._/+-]+")))
-    return F.filter(pieces, lambda p: (F.length(p) >= 3) & ~p.rlike("^[0-9]+$") & ~p.isin(*stopwords))
+    # One pass over all words: pieces are runs of three or more, a letter among them.
+    pieces = F.regexp_extract_all(F.lower(F.array_join(words, " ")), F.lit(r"(?=[0-9]*[a-z])[a-z0-9]{3,}"), F.lit(0))
+    return F.filter(pieces, lambda p: ~p.isin(*stopwords))
 
 
 def words(text: Column) -> Column:
