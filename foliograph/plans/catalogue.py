@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 from ..operators import bags, graph, order, records, samples, vectors
-from ..sources.readers import table, union_buckets
+from ..sources.readers import spread, table, union_buckets
 from ..sources.sinks import compact_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,7 +343,7 @@ c AS (SELECT doc_id, term, sum(w) AS score FROM (SELECT * FROM u UNION ALL SELEC
 SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(term) DESC, term)::INTEGER AS rank, score::BIGINT AS score FROM c QUALIFY rank <= 5""")
 def topic_terms(spark, sf_dir):
     """Five topics a document: words of the first line weigh 3, of the text's first 128 one, word pairs 4 and 1."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", topic_words(F.get(T.lines(F.col("text")), F.lit(0))).alias("a"), topic_words(F.col("text")).alias("b"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", topic_words(F.get(T.lines(F.col("text")), F.lit(0))).alias("a"), topic_words(F.col("text")).alias("b"))
 
     def part(words, weight):
         return docs.select("doc_id", F.explode(words).alias("term"), F.lit(weight).alias("w"))
@@ -356,7 +356,7 @@ def topic_terms(spark, sf_dir):
 @query()
 def keyword_diverse(spark, sf_dir):
     """Up to 8 keywords a document, the best first, none sharing a word with one before."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(topic_words(F.col("text")), lambda w: F.length(w) >= 4).alias("b"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.filter(topic_words(F.col("text")), lambda w: F.length(w) >= 4).alias("b"))
     one = docs.select("doc_id", F.explode("b").alias("term"), F.lit(1.0).alias("w"))
     two = docs.select("doc_id", F.explode(pairs(F.col("b"))).alias("term"), F.lit(1.35).alias("w")).where("split(term, ' ')[0] <> split(term, ' ')[1]")
     best = order.top_per_key(one.unionByName(two).groupBy("doc_id", "term").agg(F.sum("w").alias("score")), ["doc_id"], 32, F.round("score", 9).desc(), F.col("term").asc())
@@ -377,7 +377,7 @@ SQL_CHUNKS = "c AS (SELECT doc_id, o AS start, substr(text, o + 1, 1000) AS chun
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"), 1000, 200)).alias("c")).select("doc_id", F.col("c.offset").alias("start"), F.col("c.chunk").alias("chunk"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(T.chunks(F.col("text"), 1000, 200)).alias("c")).select("doc_id", F.col("c.offset").alias("start"), F.col("c.chunk").alias("chunk"))
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT doc_id, start::INTEGER AS start, length(chunk)::INTEGER AS n_chars, md5(chunk) AS chunk_md5 FROM c")
@@ -425,7 +425,7 @@ j AS (SELECT q.conv_id, q.turn, q.i AS q_no, b.i AS b_no, len(list_intersect(q.w
 SELECT conv_id, turn, q_no::INTEGER AS q_no, b_no::INTEGER AS b_no, round(score, 6) AS score FROM j QUALIFY row_number() OVER (PARTITION BY conv_id, turn, q_no ORDER BY round(score, 9) DESC, gap, b_no) = 1""")
 def sentence_best_match(spark, sf_dir):
     """For up to three sentences of a turn the sentence of the next turn that shares most words."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sentences(F.col("text")).alias("s"))
+    turns = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", T.sentences(F.col("text")).alias("s"))
 
     def side(first, k, shift):
         out = turns.select("conv_id", (F.col("turn") - shift).alias("turn"), F.posexplode(F.slice("s", 1, k)).alias(f"{first}_no", first))
@@ -457,7 +457,7 @@ def sessionised_blocks(spark, sf_dir):
     """Lines in blocks that each heading starts."""
     from pyspark.sql import Window
 
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line"))
+    lines = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line"))
     marked = lines.select("doc_id", "i", F.length(T.collapse(F.col("line"))).alias("n"), T.heading(F.col("line")).cast("int").alias("head"))
     block = F.sum("head").over(Window.partitionBy("doc_id").orderBy("i"))
     return marked.withColumn("block", block).groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_chars"), F.max("head").alias("headed"))
@@ -481,7 +481,7 @@ def count_windows(spark, sf_dir):
 
 @query("""WITH s AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '\\b\\d{4}[- ]?\\d{4}[- ]?\\d{4}[- ]?\\d{4}\\b', '<CARD>', 'g'), '\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b', '<IP>', 'g') AS t FROM documents) SELECT doc_id, t <> text AS changed, md5(t) AS text_md5 FROM s""")
 def pii_scrub(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", T.scrub_pii(F.col("text")).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", T.scrub_pii(F.col("text")).alias("t"))
     return docs.select("doc_id", (F.col("t") != F.col("text")).alias("changed"), F.md5("t").alias("text_md5"))
 
 
@@ -492,12 +492,12 @@ def sql_domains() -> str:
 
 @query(sql_domains())
 def domain_tags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.domains(F.col("text")), ",").alias("domains"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(T.domains(F.col("text")), ",").alias("domains"))
 
 
 @query("""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM pages) SELECT page_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM t""")
 def markup_clean(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", T.markup_text(F.col("html")).alias("t"))
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", T.markup_text(F.col("html")).alias("t"))
     return pages.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import code as C
 from ..functions import text as T
 from ..operators import graph, order, records, samples
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from .catalogue import SQL_TERMS, SQL_WORDSET, epoch, query, r6
 
 # Samples for training
@@ -18,7 +18,7 @@ from .catalogue import SQL_TERMS, SQL_WORDSET, epoch, query, r6
 def corpus_examples(spark, sf_dir):
     """Scrubbed texts under ids made from their content, each once."""
     pattern, mark = T.PII[0]
-    docs = table(spark, sf_dir, "documents").select(F.regexp_replace("text", pattern, mark).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.regexp_replace("text", pattern, mark).alias("text"))
     return docs.dropDuplicates(["text"]).select(F.concat(F.lit("doc:"), F.sha1("text")).alias("example_id"), "text")
 
 

@@ -9,7 +9,7 @@ from ..functions import code as C
 from ..functions import text as T
 from ..functions import vec
 from ..operators import codegraph, graph, layout, order, samples, vectors
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from .catalogue import SQL_TERMS, SQL_WORDSET, epoch, query, r6
 
 # Predicates and projections
@@ -136,7 +136,7 @@ def year_layer(spark, sf_dir):
 @query(f"WITH t AS (SELECT source, unnest({SQL_TERMS.format('text')}) AS term FROM documents), c AS (SELECT source, term, count(*) AS n FROM t GROUP BY 1, 2), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, term) <= 10) SELECT source, sum(n)::BIGINT AS total, string_agg(term, ' ' ORDER BY n DESC, term) AS terms FROM k GROUP BY source")
 def material_rollup(spark, sf_dir):
     """The ten most frequent terms of each source, in order."""
-    t = table(spark, sf_dir, "documents").select("source", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n"))
+    t = spread(table(spark, sf_dir, "documents")).select("source", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n"))
     top = order.top_per_key(t, ["source"], 10, F.desc("n"), F.col("term").asc())
     return top.groupBy("source").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), " ").alias("terms"))
 
@@ -192,7 +192,7 @@ def adjacent_pairs(spark, sf_dir):
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), b AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l) SELECT doc_id, count(*) AS n_lines, sum(strlen(line))::BIGINT AS n_bytes FROM b WHERE before < 2000 GROUP BY doc_id")
 def running_budget(spark, sf_dir):
     """Lines of a document until 2,000 bytes are used, the line that goes over included."""
-    lines = layout.numbered_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    lines = layout.numbered_lines(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     return layout.byte_budget(lines, "doc_id", 2000).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).alias("n_bytes"))
 
 
@@ -206,13 +206,13 @@ def entity_counter(spark, sf_dir):
 def near_equal_pages(spark, sf_dir):
     """A document's lines on four pages of near equal length."""
     pages = layout.near_equal_pages(T.lines(F.col("text")), 4)
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("page", "lines")).select("doc_id", "page", F.size("lines").alias("n_lines"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(pages).alias("page", "lines")).select("doc_id", "page", F.size("lines").alias("n_lines"))
 
 
 @query()
 def paragraph_cut(spark, sf_dir):
     """Paragraphs of documents, cut at blanks, headings and 1,200 characters."""
-    return layout.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "paragraph", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return layout.paragraphs(spread(table(spark, sf_dir, "documents")), "doc_id", "text").select(F.col("id").alias("doc_id"), "paragraph", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY generic, n DESC, term)::INTEGER AS rank, n FROM (SELECT source, lang AS term, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS generic, count(*) AS n FROM documents GROUP BY 1, 2) QUALIFY rank <= 2")
@@ -268,7 +268,7 @@ def set_difference(spark, sf_dir):
 @query("""WITH t AS (SELECT doc_id, replace(text, '. ', '.' || chr(12)) AS t FROM documents), f AS (SELECT doc_id, length(t) - length(replace(t, chr(12), '')) + 1 AS n_pages, trim(regexp_replace(regexp_replace(replace(t, chr(12), chr(10) || chr(10)), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS x FROM t) SELECT doc_id, n_pages::INTEGER AS n_pages, len(list_filter(string_split(x, chr(10)), lambda s: trim(s) <> ''))::INTEGER AS n_lines, md5(x) AS text_md5 FROM f""")
 def page_text(spark, sf_dir):
     """Page breaks become blank lines, runs of blank lines one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", layout.collapse_pages(F.replace("text", F.lit(". "), F.lit(".\f"))).alias("p"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", layout.collapse_pages(F.replace("text", F.lit(". "), F.lit(".\f"))).alias("p"))
     return docs.select("doc_id", "p.n_pages", "p.n_lines", F.md5("p.text").alias("text_md5"))
 
 
@@ -276,7 +276,7 @@ def page_text(spark, sf_dir):
 def hyphen_repair(spark, sf_dir):
     """Lines joined again, words broken at line ends mended."""
     broken = F.regexp_replace("text", "th([a-z])", "th-\n$1")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.repair_lines(T.lines(broken))).alias("text_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(C.repair_lines(T.lines(broken))).alias("text_md5"))
 
 
 @query("""SELECT part_id, y, strftime(d, '%Y-%m-%d') AS d, slug FROM (SELECT p_partkey AS part_id, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 100 >= 90 THEN 1900 ELSE 2000 END + p_partkey % 100 ELSE 2000 + p_partkey % 25 END::INTEGER AS y, DATE '2007-04-01' + (p_partkey % 28)::INTEGER AS d, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part)""")
@@ -312,7 +312,7 @@ def character_ranking(spark, sf_dir):
 def keyword_frequency(spark, sf_dir):
     """The eight most frequent words of four letters or more, first seen first on ties."""
     w = F.filter(T.words(F.col("text")), lambda x: F.length(x) >= 4)
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(w).alias("pos", "term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(w).alias("pos", "term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
     return order.top_per_key(t, ["doc_id"], 8, F.desc("n"), F.col("p").asc()).select("doc_id", "term", "n", "rank")
 
 

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores if its files give fewer tasks than that; for work that is heavy by row."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def union_buckets(buckets: dict[str, DataFrame]) -> DataFrame:
     """Rows of all buckets with their name in ``bucket``; columns that a bucket lacks are null."""
     out = None
