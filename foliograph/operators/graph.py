@@ -18,7 +18,7 @@ def hops(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     Each step joins the frontier only and is written, so lineage stays short; of the paths to a
     node the least is kept by aggregation, so none are enumerated.
     """
-    both = undirected(edges).where("src <> dst").distinct()
+    both = written(undirected(edges).where("src <> dst").distinct(), "edges")
     reached = written(seeds.select("node", F.lit(0).alias("hop"), F.array("node").alias("path")), "hops")
     frontier = reached
     for hop in range(1, radius + 1):
