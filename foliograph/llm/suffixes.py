@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_slices
+from .common import discard, materialise, measured, text_slices
 
 LENGTH = 200
 ANCHOR = 32
@@ -249,7 +249,7 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, crowd: int = 4_096, blo
     wide = sorts.groupBy("h").agg(F.count("*").alias("nd")).where("nd > 1")
     borders = materialise(sorts.join(wide.hint("merge"), "h").select("h", "c", "m", "nd", "rep.key", "rep.place"), "borders")
     start, n = F.shiftright("place", 24), F.col("place").bitwiseAND(F.lit((1 << 24) - 1))
-    whole = met.join(sorts.where("m > 1").select("h", "c").hint("merge"), ["h", "c"]).select("key", start.alias("start"), (start + n + (length - 1)).alias("end"))
+    whole = met.join(measured(sorts.where("m > 1").select("h", "c")), ["h", "c"]).select("key", start.alias("start"), (start + n + (length - 1)).alias("end"))
 
     # The borders' bytes, one of each content, from the texts.
     wanted = borders.groupBy("key").agg(F.collect_list(F.struct("h", "m", "nd", "place")).alias("parts"))
