@@ -46,6 +46,13 @@ def repeats_ids(docs: DataFrame, id_col: str) -> bool:
     return bool(docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
 
 
+def keyed(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart: the id, or where ids repeat a key written with the rows."""
+    if not repeats_ids(docs, id_col):
+        return docs, id_col
+    return materialise(docs.withColumn("__key", F.monotonically_increasing_id()), name), "__key"
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialise`` that nothing will read again."""
     jvm = df.sparkSession._jvm

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, measured, text_slices
+from .common import keyed, materialise, measured, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -154,15 +154,16 @@ def tree_scores(x: np.ndarray, base: float, depth: int, flat: tuple) -> np.ndarr
     return 1 / (1 + np.exp(-(base + value[node].sum(axis=1))))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, keep_good: float = 0.995) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, keep_good: float = 0.995, labelled: str = "id") -> DataFrame:
     """(id, COUNTS, base_failed, score, kept) for every row.
 
     ``keep_good``: the share of good labelled rows that the threshold keeps at least; it is never above a score of 0.5.
+    ``labelled``: the part of the id that labels name, where ``id_col`` is a struct.
     """
     stats = materialise(document_statistics(docs, id_col, text_col), "statistics")
     sample = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and lid is not null")
     sample = sample.groupBy("lid").agg(F.max("y").alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(max_labelled)
-    fit = stats.join(F.broadcast(sample), F.col("id") == F.col("lid")).select("id", "f", "y").dropDuplicates(["id"]).orderBy("id").limit(max_labelled).toPandas()
+    fit = stats.join(F.broadcast(sample), F.col(labelled) == F.col("lid")).select("lid", "f", "y").dropDuplicates(["lid"]).orderBy("lid").limit(max_labelled).toPandas()
     model, threshold = None, 0.0
     if len(fit) and fit.y.nunique() == 2:
         x, y = np.stack(fit.f.to_numpy()), fit.y.to_numpy(float)
@@ -184,7 +185,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that the rules reject. A repeated id stays if one of its rows is kept."""
-    kept = quality_scores(docs, labels, id_col, text_col, **options).where("kept").select(F.col("id").alias("__id")).distinct()
-    kept = measured(materialise(kept, "kept"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """``docs`` without the rows that the rules reject; each row is judged by its own text, also where ids repeat."""
+    rows, key = keyed(docs, id_col, "keyed")
+    row = F.struct(F.col(id_col).alias(id_col), F.col(key).alias("key"))
+    scores = quality_scores(rows.select(row.alias("row"), F.col(text_col).alias("text")), labels.withColumnRenamed(id_col, "row"), "row", "text", labelled=f"id.`{id_col}`", **options)
+    kept = measured(materialise(scores.where("kept").select(F.col("id.key").alias("__kept")), "kept"))
+    return rows.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)

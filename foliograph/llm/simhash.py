@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, measured, repeats_ids, text_slices
+from .common import connected_components, keyed, materialise, measured, text_slices
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -145,11 +145,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Repeated rows of that id all but one go.
+    """``docs`` with one row of each component: the one with the smallest id, any one of them where that id repeats.
 
-    A row whose id is null stays only where its whole component has no id.
+    Rows are told apart by a key, so rows of one id or without an id stay if their texts lie in different
+    components. A row whose id is null stays only where its whole component has no id.
     """
-    comp = materialise(simhash_components(docs.select(id_col, text_col), id_col, text_col, max_bits), "components")
-    keep = measured(comp.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct())
-    out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates([id_col]) if repeats_ids(docs, id_col) else out
+    rows, key = keyed(docs, id_col, "keyed")
+    row = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(key).alias("key"))
+    comp = materialise(simhash_components(rows.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", max_bits), "components")
+    keep = measured(comp.where("id = component").select(F.col("id.key").alias("__kept")))
+    return rows.join(keep, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)

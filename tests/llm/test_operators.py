@@ -124,6 +124,18 @@ def test_components(spark, docs, rows):
     assert simhash.simhash_components(nothing(spark)).count() == 0
 
 
+def test_rows_without_own_id_are_judged_by_row(spark):
+    def prose(k, n=80):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (9, prose(4)), (5, prose(5)), (None, prose(5)), (None, "short"), (5, "short too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter([(None, prose(1)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (5, prose(5)), (None, "short"), (5, "short too")])
+    assert Counter(map(tuple, simhash.near_dedup(df).collect())) == want
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert Counter(map(tuple, quality.keep_quality(df, labels).collect())) == Counter(r for r in rows if "short" not in r[1])
+
+
 def test_long_chain_is_one_component(spark):
     from foliograph.llm.common import connected_components
 
