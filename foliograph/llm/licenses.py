@@ -1,13 +1,16 @@
 """Licence statements found by a trained paragraph classifier and confirmed against templates.
 
-Method: a paragraph is a line. A multinomial logistic regression on the presence of word 1- to
+Method: lines are classified whole; statements that wrap over lines, or share one, are looked up by
+the shingles of templates in runs of lines with words, and the span of words they cover is
+classified. A multinomial logistic regression on the presence of word 1- to
 3-grams of the templates' words tells licence families from one unknown class. It is trained on
 the driver on the templates with words dropped, changed and added, against shuffled and random
 word sequences; a temperature and the unknown class's offset are calibrated on a held-out part. A
 prediction counts when its calibrated probability is at least ``least`` and a template of that
-family has at least ``similarity`` of its five-word shingles in the paragraph.
+family has at least ``similarity`` of its five-word shingles in the line or span. A hit is numbered by
+its first line; one of the same family on the same line is not repeated.
 
-A paragraph without a known bigram can only be unknown and is passed over. Words are runs of
+A line without a known bigram can only be unknown and is passed over. Words are runs of
 letters or digits, lower-cased; numbers are one word. Null text: no paragraphs. Repeated rows get
 a result each; texts are read whole.
 """
@@ -134,6 +137,45 @@ class Classifier:
         return max((contained(t, words) for t in self.templates.get(family, ())), default=0.0)
 
 
+class Spans:
+    """Spans of words that hold most shingles of a template, wherever lines break."""
+
+    def __init__(self, model: Classifier, similarity: float):
+        self.at: dict[tuple[str, ...], list[int]] = {}
+        self.need: list[tuple[int, float]] = []
+        for t in (t for ts in model.templates.values() for t in ts):
+            n = min(5, len(t))
+            want = shingles(t, n)
+            for g in want:
+                self.at.setdefault(g, []).append(len(self.need))
+            self.need.append((2 * len(t), similarity * len(want)))
+        self.sizes = sorted({len(g) for g in self.at})
+
+    def find(self, words: list[str], line: np.ndarray, known: np.ndarray) -> set[tuple[int, int]]:
+        """(start, end) of spans; ``line``: each word's line; ``known``: whether a word and the next one, over line ends too, are in a template."""
+        met: dict[tuple[int, int], list[tuple[int, tuple[str, ...]]]] = {}
+        block = np.cumsum(np.r_[0, np.diff(line) > 1])
+        starts = np.flatnonzero(known[:-1] & known[1:] & (block[:-2] == block[2:])) if len(known) > 1 else ()
+        for i in map(int, starts):
+            for n in self.sizes:
+                g = tuple(words[i : i + n])
+                if g in self.at and len(g) == n and block[i + n - 1] == block[i]:
+                    for t in self.at[g]:
+                        met.setdefault((int(block[i]), t), []).append((i, g))
+        out = set()
+        for (_, t), places in met.items():
+            width, need = self.need[t]
+            k = 0
+            while k < len(places):
+                inside = [p for p in places[k:k + width] if p[0] + len(p[1]) <= places[k][0] + width]
+                if len({g for _, g in inside}) >= need - 1e-9:
+                    out.add((inside[0][0], inside[-1][0] + len(inside[-1][1])))
+                    k += len(inside)
+                else:
+                    k += 1
+        return out
+
+
 HIT = "paragraph int, family string, probability double, similarity double, text string"
 
 
@@ -146,34 +188,45 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         vocab = {w: k + 2 for k, w in enumerate(sorted({w for g in model.grams for w in g}))}
         vocab["\n"] = 1
         width = len(vocab) + 2
+        spans = Spans(model, similarity)
         pair = np.zeros(width * width, bool)
         for g in model.grams:
             if len(g) == 2:
                 pair[vocab[g[0]] * width + vocab[g[1]]] = True
         get = vocab.get
         seen: dict[tuple, tuple] = {}
+
+        def judge(key: tuple) -> tuple:
+            if key not in seen:
+                if len(seen) > 10_000:
+                    seen.clear()
+                family, probability = model.predict(list(key))
+                seen[key] = (family, probability, model.confirm(family, list(key)))
+            return seen[key]
+
         for batch in batches:
             counts, hits = [], []
             for _, texts in text_slices(batch, 1):
                 for text in texts:
-                    counts.append(sum(1 for p in (text or "").split("\n") if p.strip()))
+                    lines = (text or "").split("\n")
+                    counts.append(sum(1 for p in lines if p.strip()))
                     found = []
-                    words = tokens(text or "")
-                    ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                    near = np.flatnonzero(pair[ids[:-1] * width + ids[1:]]) if len(ids) > 1 else ()
-                    if len(near):
-                        breaks = np.flatnonzero(ids == 1)
-                        lines = text.lower().split("\n")
-                        for p in np.unique(np.searchsorted(breaks, near)).tolist():
-                            key = tuple(w for w in tokens(lines[p]))
-                            if key not in seen:
-                                if len(seen) > 10_000:
-                                    seen.clear()
-                                family, probability = model.predict(list(key))
-                                seen[key] = (family, probability, model.confirm(family, list(key)))
-                            family, probability, match = seen[key]
-                            if family != UNKNOWN and probability >= least and match >= similarity:
-                                found.append({"paragraph": p, "family": family, "probability": probability, "similarity": match, "text": text.split("\n")[p]})
+                    all_words = tokens(text or "")
+                    all_ids = np.fromiter(map(get, all_words, repeat(0)), np.int64, len(all_words))
+                    word = np.flatnonzero(all_ids != 1)
+                    ids, line = all_ids[word], np.cumsum(all_ids == 1)[word]
+                    known = pair[ids[:-1] * width + ids[1:]]
+                    if known.any():
+                        words = [all_words[k] for k in word.tolist()]
+                        tried = [(int(a), int(b)) for a, b in ((np.searchsorted(line, p), np.searchsorted(line, p, "right")) for p in np.unique(line[:-1][known & (line[:-1] == line[1:])]))]
+                        taken = set()
+                        for a, b in [*tried, *sorted(spans.find(words, line, known))]:
+                            family, probability, match = judge(tuple(words[a:b]))
+                            first, last = int(line[a]), int(line[b - 1])
+                            if family != UNKNOWN and probability >= least and match >= similarity and not any((family, p) in taken for p in range(first, last + 1)):
+                                taken.update((family, p) for p in range(first, last + 1))
+                                found.append({"paragraph": first, "family": family, "probability": probability, "similarity": match, "text": "\n".join(lines[first : last + 1])})
+                        found.sort(key=lambda h: h["paragraph"])
                     hits.append(found)
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("text", pa.string())]))
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, kind)], names=["id", "n_paragraphs", "hits"])

@@ -373,6 +373,20 @@ def test_licences(spark, docs):
     assert licenses.license_hits(docs, model=model).count() == docs.count()
 
 
+def test_wrapped_and_shared_lines_of_licences(spark):
+    texts = {
+        1: ("Copyright\nyou can redistribute it and modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version", [(2, "gpl")]),
+        2: ("/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal", [(0, "mit")]),
+        3: ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:", [(0, "bsd")]),
+        4: ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided", [(0, "isc")]),
+        5: ("Released under the MIT License. Licensed under the Mozilla Public License, Version 2.0.", [(0, "mit"), (0, "mpl")]),
+        6: ("it under the terms of the GNU General Public License as published by\n\nthe Free Software Foundation", []),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r["id"]: sorted((h["paragraph"], h["family"]) for h in r["hits"]) for r in licenses.license_hits(df).collect()}
+    assert got == {k: want for k, (_, want) in texts.items()}
+
+
 def test_own_templates_are_found():
     model = licenses.Classifier()
     for family, templates in licenses.TEMPLATES.items():
