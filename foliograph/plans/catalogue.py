@@ -277,6 +277,11 @@ f AS (SELECT query, repo, sum(s) AS score, count(*) AS hits FROM (SELECT query,
 SELECT query AS item_id, repo AS conv_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, repo)::INTEGER AS rank, round(score, 6) AS score, hits FROM f QUALIFY rank <= 5"""
 
 
+def part_of(doc, at):
+    """The id of a document's part: both numbers, so that no length of text runs into the next document; null for a null doc."""
+    return F.when(F.col(doc).isNotNull(), F.struct(F.col(doc).alias("doc"), F.col(at).cast("long").alias("at")))
+
+
 @query(SQL_FUSION)
 def three_lane_fusion(spark, sf_dir):
     """Conversations, documents and their paragraphs as three lanes; documents belong to conversations by id."""
@@ -288,8 +293,8 @@ def three_lane_fusion(spark, sf_dir):
     repos = bags.ranked(bags.overlap_scores(ask, conv_bag, bags.idf(conv_bag, n)), 10).select("query", F.col("id").alias("repo"), "score")
     papers = order.written(bags.ranked(bags.overlap_scores(ask, bag, weights), 10).select("query", "id", (F.col("id") % n).alias("repo"), "score"), "papers")
     parts = table(spark, sf_dir, "documents").join(papers.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "part"))
-    spans = bags.bags(parts.select((F.col("doc_id") * 100000 + F.col("i")).alias("id"), "part"), "id", "part")
-    found = bags.overlap_scores(ask, spans, weights).withColumn("paper", F.floor(F.col("id") / 100000))
+    spans = bags.bags(parts.select(part_of("doc_id", "i").alias("id"), "part"), "id", "part")
+    found = bags.overlap_scores(ask, spans, weights).withColumn("paper", F.col("id.doc"))
     hint = papers.select("query", F.col("id").alias("paper"), "repo", F.col("score").alias("hint"))
     bridged = found.join(hint, ["query", "paper"]).select("query", "id", "repo", (0.75 * F.col("score") + 0.25 * F.col("hint")).alias("score"))
     bridge = bags.ranked(bridged, 12).select("query", "repo", (0.6 * F.col("score")).alias("score"))
@@ -606,12 +611,12 @@ t AS (SELECT query, id, score, shared, row_number() OVER (PARTITION BY query ORD
 SELECT query AS item_id, id // 100000 AS doc_id, (id % 100000)::BIGINT AS start, CASE WHEN rank = 1 THEN 1 ELSE 0 END AS label, round(score, 6) AS score, shared FROM t WHERE query IN (SELECT query FROM t WHERE rank = 1 AND round(score, 9) >= 0.14)""")
 def span_alignment(spark, sf_dir):
     """Each benchmark item's best chunk if it scores 0.14 or more, and its next two as hard negatives."""
-    chunked = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"), 1200, 200)).alias("c")).select((F.col("doc_id") * 100000 + F.col("c.offset")).alias("id"), F.col("c.chunk").alias("part"))
+    chunked = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"), 1200, 200)).alias("c")).select(part_of("doc_id", "c.offset").alias("id"), F.col("c.chunk").alias("part"))
     bag = order.written(bags.bags(chunked, "id", "part"), "spans")
     scores = bags.overlap_scores(benchmark_bags(spark, sf_dir), bag, bags.idf(bag, chunked.count()), 0.55, 0.23, 0.02, 0.12).where("shared >= 2")
     top = order.written(bags.ranked(scores, 3), "aligned")
     good = top.where((F.col("rank") == 1) & (F.round("score", 9) >= 0.14)).select("query")
-    return top.join(good, "query", "left_semi").select(F.col("query").alias("item_id"), F.floor(F.col("id") / 100000).alias("doc_id"), (F.col("id") % 100000).alias("start"), (F.col("rank") == 1).cast("int").alias("label"), r6("score").alias("score"), "shared")
+    return top.join(good, "query", "left_semi").select(F.col("query").alias("item_id"), F.col("id.doc").alias("doc_id"), F.col("id.at").alias("start"), (F.col("rank") == 1).cast("int").alias("label"), r6("score").alias("score"), "shared")
 
 
 @query()

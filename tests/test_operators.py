@@ -154,3 +154,14 @@ def test_stream_equals_batch(spark, tmp_path):
     incremental.run_available(stream, str(tmp_path / "state"), each)  # nothing new: nothing twice
     a, b = (incremental.windowed(x).count() for x in (events, spark.read.parquet(out)))
     assert a == b
+
+
+def test_chunks_of_long_texts_keep_their_document(spark, tmp_path):
+    from foliograph.plans import catalogue
+
+    ask = "zebra quagga okapi gazelle impala kudu eland oryx"
+    filler = "filler words of no weight " * 4100
+    spark.createDataFrame([(1, filler[:101_000] + " " + ask), (2, "another text of some words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ask)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    best = catalogue.QUERIES["span_alignment"](spark, str(tmp_path)).where("label = 1").collect()
+    assert [(r["doc_id"], r["start"]) for r in best] == [(1, 101_000)]
