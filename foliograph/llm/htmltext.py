@@ -1,19 +1,19 @@
 """Main text of web pages by deducing each host's template from token occurrence vectors.
 
-Method: a page is a sequence of tokens, element paths and whole text blocks. A token's occurrence
-vector says how often it stands on each page of its host; vectors are compared by a sum of hashed
-(page, count) pairs, so they are aggregated on the map side and a host of any size needs one row a
-token. Tokens with one vector form an equivalence class. Classes that stand on at least half of a
-host's pages are the template; they nest along element paths, the root class being the one of the
-body, on every page. Text in the root class is part of the template; it is left out where a page
-marks no article, unless the page has nothing else (its host has copies of one page only). What
-remains is slots, the text under each path. A slot's kind is decided once a host, from the names on its path and, where
-a host marks no article, from the share of its characters inside links over all pages. Pages are
-then read again, and the blocks of main slots are kept in page order.
+Method: a page is a sequence of tokens, element paths and whole text blocks. A host's pages that
+mark an article and those that don't are two layouts with a template each; pages without text are in
+neither. A token's occurrence vector says how often it stands on each page of its layout; vectors
+are compared by a sum of hashed (page, count) pairs, so they are aggregated on the map side and a
+host of any size needs one row a token. Tokens with one vector form an equivalence class. Classes
+that stand on at least half of a layout's pages are the template. Text in the template is left out
+where a page marks no article, unless the page has nothing else (its host has copies of one page
+only). What remains is slots, the text under each path. A slot's kind is decided once a layout, from
+the names on its path and, where no article is marked, from the share of its characters inside links
+over all pages. Pages are then read again, and the blocks of main slots are kept in page order.
 
 Templates go to pages by broadcast if they are measured to be under ``broadcast_bytes``, else by a
 join salted so that a hot host is dealt over many tasks. Null html: empty text. A null or odd URL
-is a host of its own. Hosts with few pages have no root text. Repeated rows get a result each.
+is a host of its own. Layouts with few pages have no fixed text. Repeated rows get a result each.
 """
 
 from __future__ import annotations
@@ -179,8 +179,16 @@ def _signed(x: int) -> int:
     return (x & (1 << 64) - 1) - (1 << 64) * (x >> 63 & 1)
 
 
+def marks(blocks: list[tuple]) -> bool:
+    """Whether a page marks an article."""
+    return any(b[3] and not b[2] for b in blocks)
+
+
 def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
-    """(host, path, text, pages, vector, chars, links, around, main): tokens summed over each task's pages.
+    """(host, marked, path, text, pages, vector, chars, links, around, main): tokens summed over each task's pages.
+
+    A host's pages that mark an article and those that don't are two layouts, counted apart; pages
+    without text are in neither.
 
     ``text`` is 0 for the element path itself, else the hash of a whole block under it. The vector
     is the wrapping sum of hashes of (page, count).
@@ -200,8 +208,8 @@ def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
             for k in range(0, len(keys), 20_000):
                 a, b = keys[k : k + 20_000], rows[k : k + 20_000]
                 yield pa.record_batch(
-                    [pa.array([x[0] for x in a]), pa.array([_signed(x[1]) for x in a], pa.int64()), pa.array([_signed(x[2]) for x in a], pa.int64()), *(pa.array([_signed(x[j]) for x in b], pa.int64()) for j in range(4)), pa.array([x[4] for x in b], pa.bool_()), pa.array([x[5] for x in b], pa.bool_())],
-                    names=["host", "path", "text", "pages", "vector", "chars", "links", "around", "main"],
+                    [pa.array([x[0] for x in a]), pa.array([x[1] for x in a], pa.bool_()), pa.array([_signed(x[2]) for x in a], pa.int64()), pa.array([_signed(x[3]) for x in a], pa.int64()), *(pa.array([_signed(x[j]) for x in b], pa.int64()) for j in range(4)), pa.array([x[4] for x in b], pa.bool_()), pa.array([x[5] for x in b], pa.bool_())],
+                    names=["host", "marked", "path", "text", "pages", "vector", "chars", "links", "around", "main"],
                 )
             sums.clear()
 
@@ -211,6 +219,9 @@ def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
                 for k, html in enumerate(slice_):
                     page = serial.getrandbits(63)
                     blocks, paths = read.blocks(html or "")
+                    if not blocks:
+                        continue
+                    marked = marks(blocks)
                     seen: dict[tuple, list] = {(p, 0): [1, 0, 0, False, False] for p in paths}
                     seen[(0, 0)] = [1, 0, 0, False, False]
                     for path, text, around, main, links in blocks:
@@ -222,7 +233,7 @@ def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
                             row[3], row[4] = around, main
                     host = hosts[at + k]
                     for (path, text), (n, chars, links, around, main) in seen.items():
-                        row = sums.setdefault((host, path, text), [0, 0, 0, 0, around, main])
+                        row = sums.setdefault((host, marked, path, text), [0, 0, 0, 0, around, main])
                         row[0] += 1
                         row[1] = (row[1] + (page * (2 * n + 1) ^ n * 0x9E3779B97F4A7C15)) & ((1 << 64) - 1)
                         row[2] += chars
@@ -232,37 +243,41 @@ def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
                 yield from table()
         yield from table()
 
-    return picked.mapInArrow(run, "host string, path long, text long, pages long, vector long, chars long, links long, around boolean, main boolean")
+    return picked.mapInArrow(run, "host string, marked boolean, path long, text long, pages long, vector long, chars long, links long, around boolean, main boolean")
 
 
 def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", share: float = 0.5, root_pages: int = 8, max_links: float = 0.5) -> DataFrame:
-    """One row a host: ``main`` paths of main slots, ``other`` paths of other slots, ``fixed`` hashes of root texts, ``classes``."""
+    """One row a host and layout: ``main`` paths of main slots, ``other`` paths of other slots, ``fixed`` hashes of texts of the template."""
     tokens = token_counts(pages, html_col, url_col)
+    layout = ["host", "marked"]
     # Equal vectors wrap alike in every task, so their sums over tasks are equal too.
     wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))
-    sums = tokens.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), wrapped.alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("around").alias("around"), F.max("main").alias("main"))
+    sums = tokens.groupBy(*layout, "path", "text").agg(F.sum("pages").alias("pages"), wrapped.alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("around").alias("around"), F.max("main").alias("main"))
     # Text tokens met once are no template; paths all stay, for their slots.
     sums = materialise(sums.where("text = 0 or pages > 1"), "tokens")
-    root = sums.where("path = 0 and text = 0").select("host", F.col("pages").alias("host_pages"), F.col("vector").alias("root"))
-    marked = sums.groupBy("host").agg(F.max("main").alias("marked"))
-    frequent = sums.join(root.join(marked, "host"), "host").where(F.col("pages") >= share * F.col("host_pages"))
-    classes = frequent.groupBy("host", "pages", "vector").agg(F.count("*").alias("tokens"))
-    valid = frequent.join(classes.where("tokens >= 2"), ["host", "pages", "vector"])
-    slot = (F.col("text") == 0) & (F.col("chars") > 0)
-    fixed = (F.col("text") != 0) & (F.col("vector") == F.col("root")) & (F.col("host_pages") >= root_pages)
+    root = sums.where("path = 0 and text = 0").select(*layout, F.col("pages").alias("host_pages"))
+    frequent = sums.join(root, layout).where(F.col("pages") >= share * F.col("host_pages"))
+    classes = frequent.groupBy(*layout, "pages", "vector").agg(F.count("*").alias("tokens"))
+    valid = frequent.join(classes, [*layout, "pages", "vector"])
+    slot = (F.col("text") == 0) & (F.col("chars") > 0) & (F.col("tokens") >= 2)
+    fixed = (F.col("text") != 0) & (F.col("host_pages") >= root_pages)
     body = ~F.col("around") & F.when(F.col("marked"), F.col("main")).otherwise(F.col("links") <= max_links * F.col("chars"))
-    in_class = valid.where(slot | fixed).select("host", "path", "text", slot.alias("slot"), (body & slot).alias("body"))
-    return in_class.groupBy("host").agg(
+    in_class = valid.where(slot | fixed).select(*layout, "path", "text", slot.alias("slot"), (body & slot).alias("body"))
+    return in_class.groupBy(*layout).agg(
         F.sort_array(F.collect_set(F.when(F.col("body"), F.col("path")))).alias("main"),
         F.sort_array(F.collect_set(F.when(F.col("slot") & ~F.col("body"), F.col("path")))).alias("other"),
         F.sort_array(F.collect_set(F.when(F.col("text") != 0, F.col("text")))).alias("fixed"),
     )
 
 
-def main_text(read: Reader, html: str, main: set[int], other: set[int], fixed: set[int], max_links: float = 0.5) -> str:
-    """The main slots' blocks of one page, joined by newlines. Paths the template doesn't have are judged on this page."""
+def main_text(read: Reader, html: str, layouts: list[tuple[set[int], set[int], set[int]]], max_links: float = 0.5) -> str:
+    """The main slots' blocks of one page, joined by newlines. Paths the template doesn't have are judged on this page.
+
+    ``layouts``: main, other and fixed of the host's pages without a marked article, and of those with one.
+    """
     blocks, _ = read.blocks(html)
-    marked = any(b[3] and not b[2] for b in blocks)
+    marked = marks(blocks)
+    main, other, fixed = layouts[marked]
     out, fix = [], []
     for path, text, around, in_main, links in blocks:
         key = _signed(path)
@@ -281,14 +296,17 @@ def main_text(read: Reader, html: str, main: set[int], other: set[int], fixed: s
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 4 << 20, salts: int = 32, **options) -> DataFrame:
     """(id, url, text) for every row."""
     found = materialise(templates(pages, html_col, url_col, **options), "templates")
+    kinds = ("main", "other", "fixed")
+    named = [(f"{c}{int(m)}", c, m) for m in (False, True) for c in kinds]
     size = found.agg(F.sum(8 * (F.size("main") + F.size("other") + F.size("fixed")) + F.length("host") + 96)).first()[0] or 0
+    found = found.groupBy("host").agg(*(F.first(F.when(F.col("marked") == m, F.col(c)), ignorenulls=True).alias(n) for n, c, m in named))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if size <= broadcast_bytes:
         joined = rows.join(F.broadcast(found), "host", "left")
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = joined.select("id", "url", "html", "host", "main", "other", "fixed")
+    joined = joined.select("id", "url", "html", "host", *(n for n, _, _ in named))
 
     def run(batches):
         read, known = Reader(), {}
@@ -300,8 +318,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if host not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[host] = [set(batch.column(c)[at + k].as_py() or ()) for c in (4, 5, 6)]
-                    out.append(main_text(read, html or "", *known[host]))
+                        sets = [set(batch.column(c)[at + k].as_py() or ()) for c in range(4, 10)]
+                        known[host] = [tuple(sets[:3]), tuple(sets[3:])]
+                    out.append(main_text(read, html or "", known[host]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
     return joined.mapInArrow(run, f"id {joined.schema['id'].dataType.simpleString()}, url string, text string")

@@ -422,3 +422,11 @@ def test_template_classes(spark):
     (t,) = htmltext.templates(df).collect()
     assert len(t["main"]) >= 2 and len(t["other"]) >= 3
     assert htmltext._signed(htmltext._hash("We use cookies")) in t["fixed"]
+
+
+def test_odd_pages_do_not_decide_for_a_host(spark):
+    page = "<body><h1>Title {0}</h1><div id=content>Block {0}</div>{1}</body>"
+    rows = [(i, "http://a.org/", page.format(i, "" if i == 5 else "<p>Sign up here</p>")) for i in range(12)]
+    rows += [(20, "http://a.org/", "<body><main><p>Marked</p></main></body>"), (21, "http://a.org/", None), (22, "http://a.org/", "")]
+    got = {r["id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nBlock {i}" for i in range(12)} | {20: "Marked", 21: "", 22: ""}
