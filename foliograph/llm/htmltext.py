@@ -54,12 +54,15 @@ def _hash(text: str) -> int:
 
 
 class Element:
-    """An open element: path hash, whether its text is around the article, inside a marked article, inside a link."""
+    """An open element: path hash, whether its text is around the article, inside a marked article, inside a link.
 
-    __slots__ = ("tag", "path", "around", "main", "link")
+    soft: around by names only; inner: in an article or main that lies in such an element.
+    """
+
+    __slots__ = ("tag", "path", "around", "main", "link", "soft", "inner")
 
-    def __init__(self, tag: str, path: int, around: bool, main: bool, link: bool):
-        self.tag, self.path, self.around, self.main, self.link = tag, path, around, main, link
+    def __init__(self, tag: str, path: int, around: bool, main: bool, link: bool, soft: bool = False, inner: bool = False):
+        self.tag, self.path, self.around, self.main, self.link, self.soft, self.inner = tag, path, around, main, link, soft, inner
 
 
 class Reader:
@@ -74,7 +77,7 @@ class Reader:
         if attrs and not attrs.isspace():
             names = " ".join(sorted(f"{m[1]}={m[2] or m[3] or m[4] or ''}".lower() for m in NAMES.finditer(attrs)))
             names = re.sub(r"\d+", "0", names)
-        key = (up.path, up.around, up.main, up.link, tag, names)
+        key = (up.path, up.around, up.main, up.link, up.soft, up.inner, tag, names)
         if key not in self.met:
             if len(self.met) >= self.most:
                 self.met.clear()
@@ -88,10 +91,13 @@ class Reader:
                 for w in WORDS.findall(value):
                     words.update(w.split("-"))
             main = up.main or tag in ("article", "main") or bool(words & (MAIN_WORDS | {"main"}) and tag not in ("body", "html"))
-            around = up.around or hidden or tag in OUTSIDE or (tag == "header" and not up.main) or (tag not in ("body", "html", "article", "main") and bool(words & AROUND))
-            self.met[key] = (_hash(f"{up.path}/{tag} {names}"), around, main, up.link or tag == "a")
-        path, around, main, link = self.met[key]
-        return Element(tag, path, around, main, link)
+            hard = hidden or tag in OUTSIDE or (tag == "header" and not up.main)
+            named = tag not in ("body", "html", "article", "main") and bool(words & AROUND)
+            opened = tag in ("article", "main") and up.around and up.soft and not up.main and not hard
+            around = not opened and (up.around or hard or named)
+            soft = around and not hard and (up.soft or not up.around)
+            self.met[key] = (_hash(f"{up.path}/{tag} {names}"), around, main, up.link or tag == "a", soft, up.inner or opened)
+        return Element(tag, *self.met[key])
 
     def blocks(self, html: str) -> tuple[list[tuple[int, str, bool, bool, int]], set[int]]:
         """(path, text, around, main, characters in links) of each block in page order, and all element paths."""
@@ -107,7 +113,7 @@ class Reader:
             if text:
                 whole = " ".join(unescape("".join(text)).split())
                 if whole:
-                    out.append((where.path, whole, where.around, where.main, min(links, len(whole))))
+                    out.append((where.path, whole, where.around, where.main, min(links, len(whole)), where.inner))
                 text.clear()
             links = 0
 
@@ -165,7 +171,11 @@ class Reader:
                     del stack[256:]
         add(html[at:])
         flush()
-        return out, paths
+        # Names give way to an article inside them that holds more text than the rest of a page without another one.
+        article = sum(len(b[1]) for b in out if b[5] and not b[2])
+        rest = [b for b in out if not b[2] and not b[5]]
+        believed = article and not any(b[3] for b in rest) and article > sum(len(b[1]) - b[4] for b in rest)
+        return [(p, t, a or (inner and not believed), m, n) for p, t, a, m, n, inner in out], paths
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"

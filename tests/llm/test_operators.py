@@ -430,3 +430,14 @@ def test_odd_pages_do_not_decide_for_a_host(spark):
     rows += [(20, "http://a.org/", "<body><main><p>Marked</p></main></body>"), (21, "http://a.org/", None), (22, "http://a.org/", "")]
     got = {r["id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i}\nBlock {i}" for i in range(12)} | {20: "Marked", 21: "", 22: ""}
+
+
+def test_names_do_not_override_an_inner_article():
+    read = htmltext.Reader()
+    none = [(set(), set(), set())] * 2
+    for name in ("content with-sidebar", "has-comments", "header-fixed", "search-results"):
+        page = f"<body><nav>Home</nav><div class='{name}'><article><h1>Title</h1><p>A text of some words.</p><div class='comments'>Nice</div></article><div class='widget'>Side</div></div></body>"
+        assert htmltext.main_text(read, page, none) == "Title\nA text of some words."
+    cards = "<div class='related-posts'><article>Another story</article></div>"
+    assert htmltext.main_text(read, f"<body><p>The story itself, at some length.</p>{cards}</body>", none) == "The story itself, at some length."
+    assert htmltext.main_text(read, f"<body><article>Story</article>{cards}</body>", none) == "Story"
