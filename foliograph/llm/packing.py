@@ -258,8 +258,11 @@ def _exchange(giver: tuple[int, ...], taker: tuple[int, ...], room: int) -> tupl
     return best
 
 
-def local_search(bins: dict[tuple[int, ...], int], capacity: int, steps: int = 20_000) -> dict[tuple[int, ...], int]:
-    """Exchanges between underfull bins that raise the sum of squared fills; ``steps`` bounds the pairs looked at."""
+def local_search(bins: dict[tuple[int, ...], int], capacity: int) -> dict[tuple[int, ...], int]:
+    """Exchanges between underfull bins that raise the sum of squared fills, until none helps or the least number of bins is reached.
+
+    After the first round, only pairs with a content made in the last or this round are looked at: the others have failed.
+    """
     bins = dict(bins)
     total = sum(sum(c) * n for c, n in bins.items())
     least = -(-total // capacity)
@@ -268,6 +271,7 @@ def local_search(bins: dict[tuple[int, ...], int], capacity: int, steps: int = 2
         if content:
             content = tuple(sorted(content, reverse=True))
             bins[content] = bins.get(content, 0) + n
+            made[content] = turn
 
     def take(content: tuple[int, ...], n: int) -> None:
         bins[content] -= n
@@ -280,17 +284,19 @@ def local_search(bins: dict[tuple[int, ...], int], capacity: int, steps: int = 2
             rest.remove(x)
         return tuple(rest)
 
-    moved = True
-    while moved and steps > 0 and sum(bins.values()) > least:
-        moved = False
+    made: dict[tuple[int, ...], int] = {}
+    moved, turn = True, 0
+    while moved and sum(bins.values()) > least:
+        moved, turn = False, turn + 1
         under = sorted((c for c in bins if sum(c) < capacity), key=lambda c: (sum(c), c))
+        fresh = under if turn == 1 else [c for c in under if made.get(c, 0) == turn - 1]
+        new = set(fresh)
         for giver in under:
-            for taker in reversed(under):
-                if steps <= 0 or giver not in bins:
+            for taker in reversed(under if giver in new else fresh):
+                if giver not in bins:
                     break
                 if taker not in bins or sum(taker) < sum(giver) or (taker == giver and bins[giver] < 2):
                     continue
-                steps -= 1
                 found = _exchange(giver, taker, capacity - sum(taker))
                 if found:
                     n = bins[giver] // 2 if giver == taker else min(bins[giver], bins[taker])

@@ -441,3 +441,15 @@ def test_names_do_not_override_an_inner_article():
     cards = "<div class='related-posts'><article>Another story</article></div>"
     assert htmltext.main_text(read, f"<body><p>The story itself, at some length.</p>{cards}</body>", none) == "The story itself, at some length."
     assert htmltext.main_text(read, f"<body><article>Story</article>{cards}</body>", none) == "Story"
+
+
+def test_local_search_ends_when_no_exchange_helps():
+    import random
+
+    rng = random.Random(1)
+    bins = Counter(tuple(sorted((rng.randint(400, 1000), rng.randint(400, 1000)), reverse=True)) for _ in range(300))
+    out = packing.local_search(dict(bins), 2048)
+    assert sum(sum(k) * n for k, n in out.items()) == sum(sum(k) * n for k, n in bins.items()) and all(sum(k) <= 2048 for k in out)
+    assert sum(out.values()) <= 215  # 271 after 20,000 pairs
+    under = [c for c in out if sum(c) < 2048]
+    assert all(packing._exchange(g, t, 2048 - sum(t)) is None for g in under for t in under if sum(t) >= sum(g) and (t != g or out[g] > 1))
