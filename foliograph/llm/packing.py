@@ -9,13 +9,17 @@ raises the sum of squared fills, until bins empty or no exchange helps. Each len
 runs of consecutive sequences; a document takes the place of its rank among equal lengths, which
 comes from counts by partition, so no length, however frequent, meets in one task.
 
-Null text is an empty document: only the end id. Repeated rows are packed each for itself. Texts
-are never shortened; the pieces of a document hold all its ids.
+Null text is an empty document: only the end id. Repeated rows are packed each for itself; which of
+several rows of equal length gets which place follows their order in the input. Texts are never
+shortened; the pieces of a document hold all its ids. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import bisect
+import sys
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,130 +45,56 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Merges:
-    """The merges of a byte-level BPE file, applied to many pre-tokens at once."""
+#: Fixed value: the pre-token pattern of byte-level files, in a form that never backtracks.
+PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
-    def __init__(self, path: str):
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, letters = model["vocab"], byte_letters()
-        self.byte = np.zeros(256, np.int64)
-        for letter, b in letters.items():
-            self.byte[b] = vocab[letter]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.rank = keys[order], order
-        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
-
-    def __call__(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pre-tokens, one after another, and how many each has."""
-        lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ids = self.byte[np.frombuffer(b"".join(tokens), np.uint8)]
-        word = np.repeat(np.arange(len(tokens)), lens)
-        none = len(self.made)
-        out_ids, out_word = [], []
-        while len(ids):
-            key = ids[:-1] << 20 | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(ids), none, np.int64)
-            rank[:-1] = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank[at], none)
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            count = np.diff(np.r_[first, len(ids)])
-            best = np.minimum.reduceat(rank * (len(ids) + 1) + np.arange(len(ids)), first)
-            more = best // (len(ids) + 1) < none
-            still = np.repeat(more, count)
-            out_ids.append(ids[~still])
-            out_word.append(word[~still])
-            spot = best[more] % (len(ids) + 1)
-            ids[spot] = self.made[rank[spot]]
-            still[spot + 1] = False
-            ids, word = ids[still], word[still]
-        if not out_ids:
-            return ids, lens
-        word = np.concatenate(out_word)
-        order = np.argsort(word, kind="stable")
-        return np.concatenate(out_ids)[order], np.bincount(word, minlength=len(tokens))
+
+def merge_ranks(path: str) -> dict[bytes, int]:
+    """The file's tokens as bytes with their ids, if its merges are numbered in the order in which they apply."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, letters = model["vocab"], byte_letters()
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(b <= a for a, b in zip(made, made[1:])) or (made and max(vocab[x] for x in letters) >= made[0]):
+        raise ValueError(f"{path}: ids don't follow the order of merges")
+    held = {*made, *(vocab[x] for x in letters)}
+    return {bytes(map(letters.__getitem__, word)): k for word, k in vocab.items() if k in held}
 
 
 class Encoder:
     """Token ids of a byte-level BPE tokenizer file as little-endian unsigned 32-bit integers.
 
-    A space before a character other than white space always starts a new pre-token, so texts are
-    cut there, and the merges of the file are applied to each unit once, many units at a time; the
-    memory of units is emptied when it is full. Ids equal those of the tokenizers library on the
-    whole text (tests); texts that hold one of the file's special tokens are left to that library.
+    The file's merges are applied by tiktoken, which takes them as ranks and needs no memory that
+    grows with the texts or their words; ids equal those of the tokenizers library (tests). Texts
+    that hold one of the file's special tokens are left to that library.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str):
         import os
-        import re
 
-        import public_tokenizers
-        import regex
+        import tiktoken
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merges = Merges(path)
-        self.units: dict[str, bytes] = {}
-        self.most, self.odd, self.cut = most, re.compile(r" (?=\s|\Z)").search, re.compile(r" (?=\S)").split
-        self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, missing: list[str]) -> None:
-        """Adds each unit's ids, the unit taken with its leading space."""
-        tokens: list[bytes] = []
-        counts = np.ones(len(missing), np.int64)
-        for k, unit in enumerate(missing):
-            if unit.isalpha():
-                tokens.append(b" " + unit.encode())
-            else:
-                parts = self.pretokens(" " + unit)
-                tokens += [p.encode("utf-8", "replace") for p in parts]
-                counts[k] = len(parts)
-        ids, lens = self.merges(tokens)
-        ends = np.cumsum(lens)[np.cumsum(counts) - 1] * 4
-        data = ids.astype("<u4").tobytes()
-        begin = 0
-        for unit, end in zip(missing, ends.tolist()):
-            self.units[unit] = data[begin:end]
-            begin = end
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                split.append(None)
-            else:
-                parts = self.cut(text) if self.odd(text) else text.split(" ")
-                split.append((parts[0], parts[1:]))
-        units = self.units
-        missing = {u for x in split if x for u in x[1] if u not in units}
-        if missing:
-            if len(units) + len(missing) > self.most:
-                units.clear()
-                missing = set().union(*(x[1] for x in split if x))
-            self.learn(list(missing))
-        get = units.__getitem__
-        return [self.whole(text) if x is None else (self.whole(x[0]) if x[0] else b"") + b"".join(map(get, x[1])) for text, x in zip(texts, split)]
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.core = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=merge_ranks(path), special_tokens={})
 
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.core.encode_ordinary(text)
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
+
+@lru_cache(maxsize=1)
 def worker_encoder(path: str) -> Encoder:
     """The Python worker's own encoder, kept from task to task."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_foliograph_worker", types.ModuleType("_foliograph_worker"))
-    if getattr(kept, "path", None) != path:
-        kept.path, kept.encoder = path, Encoder(path)
-    return kept.encoder
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -180,8 +110,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
         for batch in batches:
             owner, out = [], []
             for at, texts in text_slices(batch, 1):
-                for k, ids in enumerate(encode([t or "" for t in texts])):
-                    ids += tail
+                for k, text in enumerate(texts):
+                    ids = encode(text or "") + tail
                     n = len(ids) // 4
                     begin, piece = 0, 0
                     while begin < n:
