@@ -4,21 +4,33 @@ Method: a page is a sequence of tokens, element paths and whole text blocks. A h
 mark an article and those that don't are two layouts with a template each; pages without text are in
 neither. A token's occurrence vector says how often it stands on each page of its layout; vectors
 are compared by a sum of hashed (page, count) pairs, so they are aggregated on the map side and a
-host of any size needs one row a token. Tokens with one vector form an equivalence class. Classes
-that stand on at least half of a layout's pages are the template. Text in the template is left out
-where a page marks no article, unless the page has nothing else (its host has copies of one page
-only). What remains is slots, the text under each path. A slot's kind is decided once a layout, from
-the names on its path and, where no article is marked, from the share of its characters inside links
-over all pages. Pages are then read again, and the blocks of main slots are kept in page order.
+host of any size needs one row a token. Tokens with one vector form an equivalence class; a class of
+two tokens or more that stands on at least half of a layout's pages is valid. An element's ancestors
+stand wherever it does, so valid classes nest, and together they are the template. What remains is
+slots, the text under each path of the template. From all pages of the layout it is decided:
+
+* which texts are the template's own (they stand in a valid class): out where no article is marked;
+* which slots hold little but the template's own text, or little but links: out everywhere;
+* whether class names of several words, such as "share-prices", are believed where no article is
+  marked: not if the slots so named hold most of the text that varies and is no link.
+
+Pages are then read again, and the blocks of the other slots are kept in page order: inside a marked
+article if there is one, else outside of menus, forms and the like. In a marked article a name counts
+only if it is nothing but a word of ``AROUND`` ("comments"). Layouts of fewer than ``root_pages``
+pages, and paths the template doesn't have, are judged page by page. A page that would lose all its
+text to the template keeps it (its host has copies of one page only).
 
 Templates go to pages by broadcast if they are measured to be under ``broadcast_bytes``, else by a
 join salted so that a hot host is dealt over many tasks. Null html: empty text. A null or odd URL
-is a host of its own. Layouts with few pages have no fixed text. Repeated rows get a result each.
+is a host of its own. Repeated rows get a result each; ties (a layout with exactly half of its text
+in named slots, a slot half of which is links) believe the name and keep the slot. An empty table
+gives no rows; other columns of the pages are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -54,15 +66,15 @@ def _hash(text: str) -> int:
 
 
 class Element:
-    """An open element: path hash, whether its text is around the article, inside a marked article, inside a link.
+    """An open element. hard: outside the article by its tag; named, part: by a whole name or part of one; main: inside a
+    marked article, inner: one that lies in a named element; link: inside a link; block: the element its text belongs to."""
 
-    soft: around by names only; inner: in an article or main that lies in such an element.
-    """
-
-    __slots__ = ("tag", "path", "around", "main", "link", "soft", "inner")
+    __slots__ = ("tag", "path", "hard", "named", "part", "main", "inner", "link", "block")
 
-    def __init__(self, tag: str, path: int, around: bool, main: bool, link: bool, soft: bool = False, inner: bool = False):
-        self.tag, self.path, self.around, self.main, self.link, self.soft, self.inner = tag, path, around, main, link, soft, inner
+    def __init__(self, tag: str, path: int, hard: bool, named: bool, part: bool, main: bool, inner: bool, link: bool, up: Element | None):
+        self.tag, self.path, self.hard, self.named, self.part, self.main, self.inner, self.link = tag, path, hard, named, part, main, inner, link
+        apart = up is None or tag in BLOCK or (hard, named, part) != (up.hard, up.named, up.part)
+        self.block = self if apart else up.block
 
 
 class Reader:
@@ -77,59 +89,60 @@ class Reader:
         if attrs and not attrs.isspace():
             names = " ".join(sorted(f"{m[1]}={m[2] or m[3] or m[4] or ''}".lower() for m in NAMES.finditer(attrs)))
             names = re.sub(r"\d+", "0", names)
-        key = (up.path, up.around, up.main, up.link, up.soft, up.inner, tag, names)
+        key = (up.path, up.hard, up.named, up.part, up.main, up.inner, up.link, tag, names)
         if key not in self.met:
             if len(self.met) >= self.most:
                 self.met.clear()
-            words = set()
+            whole: set[str] = set()
             hidden = False
-            for part in names.split(" "):
-                name, _, value = part.partition("=")
+            for attr in names.split(" "):
+                name, _, value = attr.partition("=")
                 hidden |= name == "hidden" or (name == "aria-hidden" and value == "true")
-                value = value if "=" in part else part
-                words.update(WORDS.findall(value))
-                for w in WORDS.findall(value):
-                    words.update(w.split("-"))
-            main = up.main or tag in ("article", "main") or bool(words & (MAIN_WORDS | {"main"}) and tag not in ("body", "html"))
-            hard = hidden or tag in OUTSIDE or (tag == "header" and not up.main)
-            named = tag not in ("body", "html", "article", "main") and bool(words & AROUND)
-            opened = tag in ("article", "main") and up.around and up.soft and not up.main and not hard
-            around = not opened and (up.around or hard or named)
-            soft = around and not hard and (up.soft or not up.around)
-            self.met[key] = (_hash(f"{up.path}/{tag} {names}"), around, main, up.link or tag == "a", soft, up.inner or opened)
-        return Element(tag, *self.met[key])
-
-    def blocks(self, html: str) -> tuple[list[tuple[int, str, bool, bool, int]], set[int]]:
-        """(path, text, around, main, characters in links) of each block in page order, and all element paths."""
-        root = Element("", 0, False, False, False)
-        stack, out, paths = [root], [], set()
+                whole.update(WORDS.findall(value if "=" in attr else attr))
+            parts = {w for x in whole for w in x.split("-")}
+            main = up.main or tag in ("article", "main") or bool((whole & MAIN_WORDS or "main" in parts) and tag not in ("body", "html"))
+            hard = up.hard or hidden or tag in OUTSIDE or (tag == "header" and not up.main)
+            opened = main and not up.main and not hard and (up.named or up.part)
+            free = tag in ("body", "html", "article", "main")
+            named = not opened and (up.named or (not free and bool(whole & AROUND)))
+            part = not opened and not main and (up.part or (not free and bool(parts & AROUND)))
+            self.met[key] = (_hash(f"{up.path}/{tag} {names}"), hard, named, part, main, up.inner or opened, up.link or tag == "a")
+        return Element(tag, *self.met[key], up)
+
+    def blocks(self, html: str) -> tuple[list[tuple[int, str, bool, bool, int, bool]], Counter[int]]:
+        """(path, text, around, main, characters in links, named in part) of each block in page order, and how often each element path stands."""
+        root = Element("", 0, False, False, False, False, False, False, None)
+        stack, out, paths = [root], [], Counter({0: 1})
+        opened: Counter[str] = Counter()
         text: list[str] = []
-        links = 0
-        at = 0
-        where = root
+        blank, links, at, where = True, 0, 0, root
 
         def flush() -> None:
-            nonlocal links
-            if text:
+            nonlocal blank, links
+            if not blank:
                 whole = " ".join(unescape("".join(text)).split())
                 if whole:
-                    out.append((where.path, whole, where.around, where.main, min(links, len(whole)), where.inner))
-                text.clear()
-            links = 0
+                    out.append((where, whole, min(links, len(whole))))
+            text.clear()
+            blank, links = True, 0
 
         def add(piece: str) -> None:
-            nonlocal links, where
+            nonlocal blank, links, where
             if piece:
-                top = stack[-1]
-                if not text or (piece.strip() and not "".join(text).strip()):
-                    where = next((e for e in reversed(stack) if e.tag in BLOCK or e is root or e.around), root)
-                elif top.around != where.around:
+                top, empty = stack[-1], not piece.strip()
+                if blank or (top.block is not where and (top.block.hard, top.block.named, top.block.part) != (where.hard, where.named, where.part)):
                     flush()
-                    where = next((e for e in reversed(stack) if e.tag in BLOCK or e is root or e.around), root)
+                    where = top.block
                 text.append(piece)
+                blank = blank and empty
                 if top.link:
                     links += len(piece.strip())
 
+        def close(k: int) -> None:
+            for e in stack[k:]:
+                opened[e.tag] -= 1
+            del stack[k:]
+
         for m in TOKEN.finditer(html):
             add(html[at : m.start()])
             at = m.end()
@@ -140,42 +153,44 @@ class Reader:
             if tag in BLOCK:
                 flush()
             if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if tag not in BLOCK and stack[k].tag in BLOCK:
-                        break
+                if opened[tag]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].tag == tag:
+                            close(k)
+                            break
+                        if tag not in BLOCK and stack[k].tag in BLOCK:
+                            break
             elif tag in VOID:
                 if tag in ("br", "hr", "img"):
                     add(" ")
             else:
-                if tag in CLOSES_P:
+                if tag in CLOSES_P and opened["p"]:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].tag == "p":
-                            del stack[k:]
+                            close(k)
                             break
                         if stack[k].tag in BLOCK:
                             break
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ENDS.get(tag, ()):
-                        del stack[k:]
-                        break
-                    if stack[k].tag in SCOPES.get(tag, ("body",)):
-                        break
+                ends = ENDS.get(tag, ())
+                if any(opened[x] for x in ends):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].tag in ends:
+                            close(k)
+                            break
+                        if stack[k].tag in SCOPES[tag]:
+                            break
                 made = self.element(stack[-1], tag, attrs.rstrip("/"))
-                paths.add(made.path)
+                paths[made.path] += 1
                 if not attrs.endswith("/") or tag in BLOCK:
                     stack.append(made)
-                if len(stack) > 512:
-                    del stack[256:]
+                    opened[tag] += 1
         add(html[at:])
         flush()
         # Names give way to an article inside them that holds more text than the rest of a page without another one.
-        article = sum(len(b[1]) for b in out if b[5] and not b[2])
-        rest = [b for b in out if not b[2] and not b[5]]
-        believed = article and not any(b[3] for b in rest) and article > sum(len(b[1]) - b[4] for b in rest)
-        return [(p, t, a or (inner and not believed), m, n) for p, t, a, m, n, inner in out], paths
+        article = sum(len(t) for e, t, _ in out if e.inner and not e.hard)
+        rest = [b for b in out if not b[0].inner and not (b[0].hard or b[0].named or b[0].part)]
+        believed = article and not any(e.main for e, _, _ in rest) and article > sum(len(t) - n for _, t, n in rest)
+        return [(e.path, t, e.hard or e.named or (e.inner and not believed), e.main, n, e.part) for e, t, n in out], paths
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -191,14 +206,11 @@ def _signed(x: int) -> int:
 
 def marks(blocks: list[tuple]) -> bool:
     """Whether a page marks an article."""
-    return any(b[3] and not b[2] for b in blocks)
+    return any(main and not around and not part for _, _, around, main, _, part in blocks)
 
 
 def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
-    """(host, marked, path, text, pages, vector, chars, links, around, main): tokens summed over each task's pages.
-
-    A host's pages that mark an article and those that don't are two layouts, counted apart; pages
-    without text are in neither.
+    """(host, marked, path, text, pages, vector, chars, links, around, part): tokens summed over each task's pages.
 
     ``text`` is 0 for the element path itself, else the hash of a whole block under it. The vector
     is the wrapping sum of hashes of (page, count).
@@ -219,7 +231,7 @@ def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
                 a, b = keys[k : k + 20_000], rows[k : k + 20_000]
                 yield pa.record_batch(
                     [pa.array([x[0] for x in a]), pa.array([x[1] for x in a], pa.bool_()), pa.array([_signed(x[2]) for x in a], pa.int64()), pa.array([_signed(x[3]) for x in a], pa.int64()), *(pa.array([_signed(x[j]) for x in b], pa.int64()) for j in range(4)), pa.array([x[4] for x in b], pa.bool_()), pa.array([x[5] for x in b], pa.bool_())],
-                    names=["host", "marked", "path", "text", "pages", "vector", "chars", "links", "around", "main"],
+                    names=["host", "marked", "path", "text", "pages", "vector", "chars", "links", "around", "part"],
                 )
             sums.clear()
 
@@ -232,91 +244,102 @@ def token_counts(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
                     if not blocks:
                         continue
                     marked = marks(blocks)
-                    seen: dict[tuple, list] = {(p, 0): [1, 0, 0, False, False] for p in paths}
-                    seen[(0, 0)] = [1, 0, 0, False, False]
-                    for path, text, around, main, links in blocks:
-                        for key, n in (((path, 0), len(text)), ((path, _hash(text) or 1), 0)):
-                            row = seen.setdefault(key, [0, 0, 0, around, main])
-                            row[0] += 1
-                            row[1] += n
-                            row[2] += links if n else 0
-                            row[3], row[4] = around, main
+                    seen: dict[tuple, list] = {(p, 0): [n, 0, 0, False, False] for p, n in paths.items()}
+                    for path, text, around, main, links, part in blocks:
+                        for key in ((path, 0), (path, _hash(text) or 1)):
+                            row = seen.setdefault(key, [0, 0, 0, False, False])
+                            row[0] += bool(key[1])
+                            row[1] += len(text)
+                            row[2] += links
+                            row[3], row[4] = around or (marked and not main), part
                     host = hosts[at + k]
-                    for (path, text), (n, chars, links, around, main) in seen.items():
-                        row = sums.setdefault((host, marked, path, text), [0, 0, 0, 0, around, main])
+                    for (path, text), (n, chars, links, around, part) in seen.items():
+                        row = sums.setdefault((host, marked, path, text), [0, 0, 0, 0, False, False])
                         row[0] += 1
                         row[1] = (row[1] + (page * (2 * n + 1) ^ n * 0x9E3779B97F4A7C15)) & ((1 << 64) - 1)
                         row[2] += chars
                         row[3] += links
-                        row[4], row[5] = row[4] or around, row[5] or main
+                        row[4], row[5] = row[4] or around, row[5] or part
             if len(sums) > 100_000:
                 yield from table()
         yield from table()
 
-    return picked.mapInArrow(run, "host string, marked boolean, path long, text long, pages long, vector long, chars long, links long, around boolean, main boolean")
+    return picked.mapInArrow(run, "host string, marked boolean, path long, text long, pages long, vector long, chars long, links long, around boolean, part boolean")
 
 
 def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", share: float = 0.5, root_pages: int = 8, max_links: float = 0.5) -> DataFrame:
-    """One row a host and layout: ``main`` paths of main slots, ``other`` paths of other slots, ``fixed`` hashes of texts of the template."""
+    """One row a host and layout: ``slots`` paths whose text is judged for the layout, ``other`` those of them that are out,
+    ``fixed`` hashes of texts of the template, ``unbelieved`` whether names of several words count for nothing."""
     tokens = token_counts(pages, html_col, url_col)
     layout = ["host", "marked"]
     # Equal vectors wrap alike in every task, so their sums over tasks are equal too.
     wrapped = F.sum(F.col("vector").cast("decimal(38,0)"))
-    sums = tokens.groupBy(*layout, "path", "text").agg(F.sum("pages").alias("pages"), wrapped.alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("around").alias("around"), F.max("main").alias("main"))
+    sums = tokens.groupBy(*layout, "path", "text").agg(F.sum("pages").alias("pages"), wrapped.alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("around").alias("around"), F.max("part").alias("part"))
     # Text tokens met once are no template; paths all stay, for their slots.
     sums = materialise(sums.where("text = 0 or pages > 1"), "tokens")
-    root = sums.where("path = 0 and text = 0").select(*layout, F.col("pages").alias("host_pages"))
+    root = sums.where("path = 0 and text = 0").select(*layout, F.col("pages").alias("host_pages")).where(F.col("pages") >= root_pages)
     frequent = sums.join(root, layout).where(F.col("pages") >= share * F.col("host_pages"))
-    classes = frequent.groupBy(*layout, "pages", "vector").agg(F.count("*").alias("tokens"))
-    valid = frequent.join(classes, [*layout, "pages", "vector"])
-    slot = (F.col("text") == 0) & (F.col("chars") > 0) & (F.col("tokens") >= 2)
-    fixed = (F.col("text") != 0) & (F.col("host_pages") >= root_pages)
-    body = ~F.col("around") & F.when(F.col("marked"), F.col("main")).otherwise(F.col("links") <= max_links * F.col("chars"))
-    in_class = valid.where(slot | fixed).select(*layout, "path", "text", slot.alias("slot"), (body & slot).alias("body"))
-    return in_class.groupBy(*layout).agg(
-        F.sort_array(F.collect_set(F.when(F.col("body"), F.col("path")))).alias("main"),
-        F.sort_array(F.collect_set(F.when(F.col("slot") & ~F.col("body"), F.col("path")))).alias("other"),
-        F.sort_array(F.collect_set(F.when(F.col("text") != 0, F.col("text")))).alias("fixed"),
+    classes = frequent.groupBy(*layout, "pages", "vector").agg(F.count("*").alias("tokens")).where("tokens > 1")
+    valid = frequent.join(classes, [*layout, "pages", "vector"], "left_semi")
+    own = F.sum(F.when(F.col("text") != 0, F.col("chars")).otherwise(0))
+    slots = valid.groupBy(*layout, "path").agg(
+        own.alias("own"), F.sum(F.when(F.col("text") == 0, F.col("chars"))).alias("chars"), F.sum(F.when(F.col("text") == 0, F.col("links"))).alias("links"), F.max("around").alias("around"), F.max("part").alias("part"), F.collect_list(F.when(F.col("text") != 0, F.col("text"))).alias("fixed")
+    )
+    out = (F.col("links") > max_links * F.col("chars")) | (2 * F.col("own") > F.col("chars"))
+    varied = F.when(~out & ~F.col("around"), F.col("chars") - F.col("links") - F.col("own")).otherwise(0)
+    return slots.groupBy(*layout).agg(
+        F.sort_array(F.collect_set(F.when(F.col("chars") > 0, F.col("path")))).alias("slots"),
+        F.sort_array(F.collect_set(F.when((F.col("chars") > 0) & out, F.col("path")))).alias("other"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("fixed")))).alias("fixed"),
+        (F.sum(F.when(F.col("part"), varied).otherwise(0)) > F.sum(F.when(F.col("part"), 0).otherwise(varied))).alias("unbelieved"),
     )
 
 
-def main_text(read: Reader, html: str, layouts: list[tuple[set[int], set[int], set[int]]], max_links: float = 0.5) -> str:
-    """The main slots' blocks of one page, joined by newlines. Paths the template doesn't have are judged on this page.
+class Layout:
+    """What a template says of its layout's pages."""
 
-    ``layouts``: main, other and fixed of the host's pages without a marked article, and of those with one.
-    """
+    def __init__(self, slots=(), other=(), fixed=(), unbelieved: bool | None = None):
+        self.slots, self.other, self.fixed, self.unbelieved = frozenset(slots), frozenset(other), frozenset(fixed), unbelieved
+
+
+NO_TEMPLATE = Layout()
+
+
+def main_text(read: Reader, html: str, layouts: tuple[Layout, Layout] = (NO_TEMPLATE, NO_TEMPLATE), max_links: float = 0.5) -> str:
+    """The main slots' blocks of one page, joined by newlines. ``layouts``: of the host's pages without a marked article, and of those with one."""
     blocks, _ = read.blocks(html)
     marked = marks(blocks)
-    main, other, fixed = layouts[marked]
-    out, fix = [], []
-    for path, text, around, in_main, links in blocks:
+    layout = layouts[marked]
+    unbelieved = layout.unbelieved
+    if unbelieved is None:
+        free = [(len(t) - n, part) for _, t, around, _, n, part in blocks if not around and n <= max_links * len(t)]
+        unbelieved = sum(n for n, part in free if part) > sum(n for n, part in free if not part)
+    out, own = [], []
+    for path, text, around, in_main, links, part in blocks:
+        if around or (part and (marked or not unbelieved)) or (marked and not in_main):
+            continue
         key = _signed(path)
-        if key in main:
-            keep = in_main or not marked
-        elif key in other:
-            keep = not around and in_main
-        else:
-            keep = not around and (in_main if marked else links <= max_links * len(text))
-        if keep:
-            out.append(text)
-            fix.append(not marked and bool(fixed) and _signed(_hash(text) or 1) in fixed)
-    return "\n".join(out if all(fix) else [t for t, f in zip(out, fix) if not f])
+        if not marked and key not in layout.slots and links > max_links * len(text):
+            continue
+        out.append(text)
+        own.append(key in layout.other or (not marked and _signed(_hash(text) or 1) in layout.fixed))
+    return "\n".join(out if all(own) else [t for t, f in zip(out, own) if not f])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 4 << 20, salts: int = 32, **options) -> DataFrame:
     """(id, url, text) for every row."""
     found = materialise(templates(pages, html_col, url_col, **options), "templates")
-    kinds = ("main", "other", "fixed")
-    named = [(f"{c}{int(m)}", c, m) for m in (False, True) for c in kinds]
-    size = found.agg(F.sum(8 * (F.size("main") + F.size("other") + F.size("fixed")) + F.length("host") + 96)).first()[0] or 0
-    found = found.groupBy("host").agg(*(F.first(F.when(F.col("marked") == m, F.col(c)), ignorenulls=True).alias(n) for n, c, m in named))
+    names = ("unmarked", "marked")
+    size = found.agg(F.sum(8 * (F.size("slots") + F.size("other") + F.size("fixed")) + F.length("host") + 96)).first()[0] or 0
+    template = F.struct("slots", "other", "fixed", "unbelieved")
+    found = found.groupBy("host").agg(*(F.first(F.when(F.col("marked") == bool(k), template), ignorenulls=True).alias(n) for k, n in enumerate(names)))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if size <= broadcast_bytes:
         joined = rows.join(F.broadcast(found), "host", "left")
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = joined.select("id", "url", "html", "host", *(n for n, _, _ in named))
+    joined = joined.select("id", "url", "html", "host", *names)
 
     def run(batches):
         read, known = Reader(), {}
@@ -328,8 +351,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if host not in known:
                         if len(known) > 1000:
                             known.clear()
-                        sets = [set(batch.column(c)[at + k].as_py() or ()) for c in range(4, 10)]
-                        known[host] = [tuple(sets[:3]), tuple(sets[3:])]
+                        known[host] = tuple(Layout(**x) if x else NO_TEMPLATE for x in (batch.column(c)[at + k].as_py() for c in (4, 5)))
                     out.append(main_text(read, html or "", known[host]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 

@@ -433,10 +433,66 @@ def test_fixed_text_of_hosts_without_article(spark):
 
 
 def test_template_classes(spark):
-    df = spark.createDataFrame([(i, "https://h.org/", PAGE.format(i)) for i in range(10)], "page_id long, url string, html string")
+    """Classes by whole occurrence vectors, written out, give the same slots and texts."""
+    pages = [PAGE.format(i) + ("<p>Now and then</p>" if i % 3 else "") for i in range(10)]
+    df = spark.createDataFrame([(i, "https://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
     (t,) = htmltext.templates(df).collect()
-    assert len(t["main"]) >= 2 and len(t["other"]) >= 3
-    assert htmltext._signed(htmltext._hash("We use cookies")) in t["fixed"]
+    vectors, chars, links = defaultdict(lambda: [0] * 10), Counter(), Counter()
+    read = htmltext.Reader()
+    for i, page in enumerate(pages):
+        blocks, paths = read.blocks(page)
+        for path, n in paths.items():
+            vectors[path, 0][i] = n
+        for path, text, _, _, n, _ in blocks:
+            vectors[path, text][i] += 1
+            chars[path, 0] += len(text)
+            chars[path, text] += len(text)
+            links[path] += n
+    size = Counter(map(tuple, vectors.values()))
+    valid = {k for k, v in vectors.items() if sum(map(bool, v)) >= 5 and size[tuple(v)] > 1}
+    own = Counter()
+    for path, text in valid:
+        if text:
+            own[path] += chars[path, text]
+    slots = {p for p, x in valid if not x and chars[p, 0]}
+    signed, hashed = htmltext._signed, lambda x: htmltext._signed(htmltext._hash(x))
+    assert set(t["slots"]) == set(map(signed, slots)) and set(t["fixed"]) == {hashed(x) for _, x in valid if x}
+    assert set(t["other"]) == {signed(p) for p in slots if 2 * links[p] > chars[p, 0] or 2 * own[p] > chars[p, 0]}
+    assert {hashed("We use cookies"), hashed("one")} <= set(t["fixed"]) and len(t["other"]) >= 2
+
+
+def test_templates_decide(spark):
+    """With its template a page loses what the host repeats; without it, it doesn't: with and without a marked article."""
+    call = "<p class='call'>Read on with our weekly letter</p>"
+    marked = "<body><article><h1>Title {0}</h1><p>Story {0} in a few words.</p><p>A line of every story</p>" + call + "<ul class='seen'><li><a href=x>Story one {0}</a><li><a href=y>Story two</a></ul></article></body>"
+    bare = "<body><div>Top of all pages</div><p>Text {0} of its own</p><div class='x'><a href=z>Link</a> {0}</div></body>"
+    rows = [(i, "http://m.org/", marked.format(i)) for i in range(12)] + [(20 + i, "http://n.org/", bare.format(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in htmltext.extract(df).collect()}
+    assert got[3] == "Title 3\nStory 3 in a few words.\nA line of every story" and got[23] == "Text 3 of its own"
+    read = htmltext.Reader()
+    alone = htmltext.main_text(read, marked.format(3))
+    assert alone.startswith(got[3]) and "Read on" in alone and "Story two" in alone
+    assert htmltext.main_text(read, bare.format(3)) == "Top of all pages\nText 3 of its own"
+
+
+def test_names_of_several_words_lose_no_text():
+    read = htmltext.Reader()
+    page = "<body><nav>Menu</nav><article><h1>News</h1><section class='share-prices'><p>prices rose</p></section><section id='related-work'><p>others did</p></section><div class='comments'>Nice!</div></article></body>"
+    assert htmltext.main_text(read, page) == "News\nprices rose\nothers did"
+    page = "<body><h1>Title</h1><div class='search-results-discussion'><p>The whole text of the article stands here.</p></div><div class='comment-list'>Short</div><div class='comments'>A reader's longer remark, which is no part of it</div></body>"
+    assert htmltext.main_text(read, page).startswith("Title\nThe whole text")
+    assert "remark" not in htmltext.main_text(read, page)
+    deep = "<div>" * 2000 + "<aside>" + "<div>" * 1000 + "Menu" + "</div>" * 1000 + "</aside>" + "<p>Text</p>" + "</div>" * 2000
+    assert htmltext.main_text(read, f"<body><article>{deep}</article></body>") == "Text"
+    assert htmltext.main_text(read, "<b>" * 50_000 + "x" + "<p>y") == "x\ny"
+
+
+def test_pages_with_clashing_columns_and_long_texts(spark):
+    long = "<body><article>" + "<p>word &amp; more</p>" * 60_000 + "</article></body>"
+    df = spark.createDataFrame([(1, "http://a.org/", long, "x", 2, "y", [1]), (None, None, None, None, None, None, None)], "page_id long, url string, html string, id string, host int, text string, slots array<int>")
+    got = {r["id"]: r["text"] for r in htmltext.extract(df).collect()}
+    assert got == {1: "\n".join(["word & more"] * 60_000), None: ""}
 
 
 def test_odd_pages_do_not_decide_for_a_host(spark):
@@ -449,13 +505,12 @@ def test_odd_pages_do_not_decide_for_a_host(spark):
 
 def test_names_do_not_override_an_inner_article():
     read = htmltext.Reader()
-    none = [(set(), set(), set())] * 2
     for name in ("content with-sidebar", "has-comments", "header-fixed", "search-results"):
         page = f"<body><nav>Home</nav><div class='{name}'><article><h1>Title</h1><p>A text of some words.</p><div class='comments'>Nice</div></article><div class='widget'>Side</div></div></body>"
-        assert htmltext.main_text(read, page, none) == "Title\nA text of some words."
+        assert htmltext.main_text(read, page) == "Title\nA text of some words."
     cards = "<div class='related-posts'><article>Another story</article></div>"
-    assert htmltext.main_text(read, f"<body><p>The story itself, at some length.</p>{cards}</body>", none) == "The story itself, at some length."
-    assert htmltext.main_text(read, f"<body><article>Story</article>{cards}</body>", none) == "Story"
+    assert htmltext.main_text(read, f"<body><p>The story itself, at some length.</p>{cards}</body>") == "The story itself, at some length."
+    assert htmltext.main_text(read, f"<body><article>Story</article>{cards}</body>") == "Story"
 
 
 def test_local_search_ends_when_no_exchange_helps():
