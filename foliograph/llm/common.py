@@ -53,6 +53,14 @@ def keyed(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn("__key", F.monotonically_increasing_id()), name), "__key"
 
 
+def numbered(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a whole-number column that tells its rows apart: the id where that does, else a key written with the rows."""
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and not docs.where(F.col(id_col).isNull()).limit(1).count() and not repeats_ids(docs, id_col):
+        return docs, id_col
+    return materialise(docs.withColumn("__key", F.monotonically_increasing_id()), name), "__key"
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialise`` that nothing will read again."""
     jvm = df.sparkSession._jvm

@@ -333,8 +333,11 @@ def _windows(data: np.ndarray, length: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(raw[i : i + length]) for i in range(len(raw) - length + 1)], np.uint64).view(np.int64)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
-    """(id, n_bytes, spans, kept): each row's bytes, its maximal repeated spans and the bytes that remain, in order."""
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False, **options) -> DataFrame:
+    """(id, n_bytes, spans, kept): each row's bytes, its maximal repeated spans and the bytes that remain, in order.
+
+    ``as_text``: kept is a string; characters that a span cuts through go whole, all others stay as they are.
+    """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     spans = repeat_spans(keyed.select("key", "text"), length, **options)
     listed = materialise(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
@@ -356,8 +359,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     edges = [0, *(x for span in out for x in span), len(data)]
                     sizes.append(len(data))
                     merged.append([{"start": s, "end": e} for s, e in out])
-                    kept.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2])))
+                    rest = [data[s:e] for s, e in zip(edges[::2], edges[1::2])]
+                    kept.append("".join(x.decode("utf-8", "ignore") for x in rest) if as_text else b"".join(rest))
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.string() if as_text else pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(run, f"id {_kind(keyed, 'id')}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return joined.mapInArrow(run, f"id {_kind(keyed, 'id')}, n_bytes long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}")

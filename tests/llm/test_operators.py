@@ -118,12 +118,85 @@ def test_components(spark, docs, rows):
     low = components(fps, [r["doc_id"] for r in rows])
     got = Counter((r["id"], r["fp"] & (1 << 64) - 1, r["component"]) for r in simhash.simhash_components(docs).collect())
     assert got == Counter((r["doc_id"], fps[i], low[i]) for i, r in enumerate(rows))
-    kept = simhash.near_dedup(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({x for x in low.values() if x is not None})
     assert simhash.simhash_components(nothing(spark)).count() == 0
 
 
+def shingle_classes(texts: list, similarity: float = 0.8) -> list[int]:
+    """By all pairs: each text's group, by the place of its first member."""
+    sets = []
+    for t in texts:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t or "")]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= similarity * len(a | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def test_near_copies(spark, docs, rows):
+    import random
+
+    rng = random.Random(8)
+    texts = [(r["doc_id"], r["text"]) for r in rows]
+    for k in range(60):  # copies with words changed here and there, and with the end cut off
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 150, 400]))]
+        texts.append((1000 + 10 * k, " ".join(w)))
+        for j in range(1, 4):
+            new = [x if rng.random() > 0.02 * j else "new" for x in w] if k % 2 else w[: int(len(w) * (1 - 0.07 * j))]
+            texts.append((1000 + 10 * k + j, " ".join(new)))
+    group = shingle_classes([t for _, t in texts])
+    low = defaultdict(list)
+    for (i, _), g in zip(texts, group):
+        if i is not None:
+            low[g].append(i)
+    want = {min(x) for x in low.values()}
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    kept = simhash.near_dedup(df)
+    got = [r["doc_id"] for r in kept.where("doc_id is not null").collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 2  # hardly a link is missed
+    assert simhash.near_dedup(docs).columns == docs.columns and simhash.near_dedup(nothing(spark)).count() == 0
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    """A group of near copies in which many pairs are not alike, and bridges between groups."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(250):
+        w = list(base)
+        for _ in range(rng.choice([2, 5, 6])):
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    chain = list(base[:200])
+    for i in range(0, 200, 8):  # each step near the one before
+        chain[i] = f"y{i}"
+        texts.append(" ".join(chain) + " z")
+    group = shingle_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"] for r in simhash.near_dedup(df).collect()}
+    assert set(group) <= got and len(got) <= len(set(group)) + 1
+
+
+def test_wide_keys_find_near_sets():
+    rng = np.random.default_rng(6)
+    tables, weights = simhash.golay_tables(), 1 << np.arange(23)
+    for n, alike, least in ((50, 0.8, 0.97), (1000, 0.8, 0.93), (1000, 0.85, 0.98)):
+        hits = 0
+        for _ in range(200):
+            same = round(2 * n * alike / (1 + alike))
+            h = np.unique(rng.integers(0, 1 << 63, 2 * n - same, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+            order = rng.permutation(len(h))
+            words = [(simhash.wide_fingerprint(np.sort(h[x])).reshape(simhash.WIDE, 23) * weights).sum(1) for x in (order[:n], order[n - same :])]
+            a, b = (simhash.near_codewords(w, tables)[:, 0] for w in words)
+            hits += any((a[i], a[(i + d) % simhash.WIDE]) == (b[i], b[(i + d) % simhash.WIDE]) for d in simhash.APART for i in range(simhash.WIDE))
+        assert hits >= least * 200
+
+
 def test_rows_without_own_id_are_judged_by_row(spark):
     def prose(k, n=80):
         return " ".join(f"w{k}x{i}" for i in range(n))
