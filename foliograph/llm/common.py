@@ -108,8 +108,10 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = materialise(small.distinct(), name)
-        if (this := mark(now)) == was:
+        last, now = now, materialise(small.distinct(), name)
+        this = mark(now)
+        discard(last)
+        if this == was:
             return now
         was = this
     raise RuntimeError(f"components did not settle in {rounds} rounds")

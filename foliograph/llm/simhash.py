@@ -147,9 +147,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-#: Segments of a wide fingerprint, and the distances of the segments that make a key in pairs.
+#: Segments of a wide fingerprint, and the distances of the two further segments that make a key with each one.
 WIDE = 32
-APART = (1, 7, 13)
+APART = ((1, 11), (5, 16), (7, 20))
 
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
@@ -189,8 +189,8 @@ def wide_fingerprint(shingles: np.ndarray, bits: int = 23 * WIDE) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(row long, same binary, size long, words binary) of rows (row, text): a hash of the shingle set, its size and
-    the segments of its wide fingerprint as 32-bit integers (none if the set is empty)."""
+    """(row long, same binary, size long, words binary) of rows (row, text): a hash of the set of five-word shingles, its
+    size, and the segments of the wide fingerprint of three-word shingles as 32-bit integers (none without words)."""
 
     def run(batches):
         import xxhash
@@ -200,32 +200,34 @@ def sketches(rows: DataFrame) -> DataFrame:
             same, size, segments = [], [], []
             for _, texts in text_slices(batch, 1):
                 for text in texts:
-                    h = shingle_set(text)
+                    h, few = shingle_set(text), shingle_set(text, 3)
                     same.append(xxhash.xxh3_128_digest(h.tobytes()))
                     size.append(len(h))
-                    segments.append((wide_fingerprint(h).reshape(WIDE, 23) * weights).sum(1).astype("<i4").tobytes() if len(h) else None)
+                    segments.append((wide_fingerprint(few).reshape(WIDE, 23) * weights).sum(1).astype("<i4").tobytes() if len(few) else None)
             yield pa.record_batch([batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(segments, pa.binary())], names=["row", "same", "size", "words"])
 
     return rows.select("row", "text").mapInArrow(run, "row long, same binary, size long, words binary")
 
 
 def _wide_keys(classes: DataFrame) -> DataFrame:
-    """(key, row, size, part): a key for each pair of segments of ``APART``, from the index of the codeword nearest to
-    each segment; ``part`` is 64 bits spread over the fingerprint."""
-    pairs = np.array([(i, (i + d) % WIDE) for d in APART for i in range(WIDE)])
+    """(key, row, size, part): a key for each three segments of ``APART``, from the indices of the codewords nearest to
+    them; ``part`` is 64 bits spread over the fingerprint, turned by the key's number."""
+    segments = np.array([(i, (i + d) % WIDE, (i + e) % WIDE) for d, e in APART for i in range(WIDE)])
 
     def run(batches):
-        tables = golay_tables()
+        tables, each = golay_tables(), len(segments)
+        turns = np.arange(each, dtype=np.uint64) * np.uint64(11) % np.uint64(63) + np.uint64(1)
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 some = batch.slice(start, 2048)
                 words = np.frombuffer(b"".join(some.column(2).to_pylist()), "<i4").reshape(-1, WIDE).astype(np.int64)
                 code = near_codewords(words, tables)[..., 0]
-                key = np.arange(len(pairs)) << 24 | code[:, pairs[:, 0]] << 12 | code[:, pairs[:, 1]]
-                spread = ((words >> 3 & 1) << np.arange(WIDE) | (words >> 14 & 1) << np.arange(WIDE, 2 * WIDE)).view(np.uint64)
-                part = np.bitwise_or.reduce(spread, axis=1).view(np.int64)
-                each = len(pairs)
-                yield pa.record_batch([pa.array(key.ravel()), *(pa.array(np.repeat(np.asarray(x, np.int64), each)) for x in (some.column(0), some.column(1), part))], names=["key", "row", "size", "part"])
+                key = np.arange(each) << 36 | code[:, segments[:, 0]] << 24 | code[:, segments[:, 1]] << 12 | code[:, segments[:, 2]]
+                spread = (words >> 3 & 1) << np.arange(WIDE) | (words >> 14 & 1) << np.arange(WIDE, 2 * WIDE)
+                part = np.bitwise_or.reduce(spread, axis=1).view(np.uint64)[:, None]
+                part = (part << turns | part >> (np.uint64(64) - turns)).view(np.int64)
+                row, size = (np.repeat(np.asarray(some.column(k), np.int64), each) for k in (0, 1))
+                yield pa.record_batch([pa.array(key.ravel()), pa.array(row), pa.array(size), pa.array(part.ravel())], names=["key", "row", "size", "part"])
 
     return classes.where("words is not null").select("row", "size", "words").mapInArrow(run, "key long, row long, size long, part long")
 
@@ -242,72 +244,59 @@ def _verified(pairs: DataFrame, rows: DataFrame, similarity: tuple[int, int]) ->
     sets = materialise(rows.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, set array<long>"), "sets")
     both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("b")), "v")
     common, (above, below) = F.size(F.array_intersect("a", "b")), similarity
-    return both.where((above + below) * common >= above * (F.size("a") + F.size("b"))).select("u", "v")
+    links = materialise(both.where((above + below) * common >= above * (F.size("a") + F.size("b"))).select("u", "v"), "links")
+    discard(sets)
+    return links
 
 
-def near_links(rows: DataFrame, classes: DataFrame, similarity: tuple[int, int] = (4, 5), flips: int = 22, rounds: int = 3, tries: int = 4) -> DataFrame:
-    """(u, v): links that join all rows of ``classes`` (row, size, words) whose sets of five-word shingles share
-    ``similarity`` (a fraction) of their union, or more, and that meet by a key; ``rows`` (row, text) has their texts.
+def near_links(rows: DataFrame, classes: DataFrame, similarity: tuple[int, int] = (4, 5), flips: int = 20, after: int = 4, nearest: int = 8) -> DataFrame:
+    """(u, v): pairs of ``classes`` (row, size, words) whose sets of five-word shingles share ``similarity`` (a fraction)
+    of their union, or more; ``rows`` (row, text) has their texts.
 
-    Texts that share a key and differ in ``flips`` or fewer of 64 bits are compared. In a few rounds each text meets
-    one text of each of its buckets only, the ``tries`` nearest; those linked become one component. After that,
-    texts of a bucket that lie in different components are all compared, so no link between components is lost,
-    while a large group of near copies costs rows in proportion to it and not to its square.
+    Texts with one key lie in a bucket, in order of the 64 bits of ``part``. Each is held against the ``after`` next and the
+    bucket's first, if ``flips`` or fewer of these bits differ; the ``nearest`` of those, and the two with the smallest
+    numbers, are verified on whole texts. So a bucket of any size costs rows in proportion to it, and a group of
+    near copies hangs together by its neighbours in 96 orders and by its smallest members.
     """
     above, below = similarity
-    keys = materialise(_wide_keys(classes), "wide-keys")
-    often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = materialise(keys.join(often, "key"), "met")
-    discard(keys)
-    near = (F.bit_count(F.col("a.part").bitwiseXOR(F.col("b.part"))) <= flips) & (below * F.least("a.size", "b.size") >= above * F.greatest("a.size", "b.size"))
-    links, tried, roots, whole = None, None, None, met.withColumn("root", F.col("row"))
-    for turn in range(rounds + 1):
-        if roots is not None:
-            whole = materialise(met.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "met")
-        counts = whole.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "size", "part", "root")).alias("one"))
-        mixed = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).getField("root").alias("main"), F.min("one").alias("one")).where("roots > 1")
-        if turn < rounds:
-            b = mixed.select("key", "one.row", "one.size", "one.part", "one.root").alias("b")
-            found = whole.alias("a").join(b, "key").where((F.col("a.root") != F.col("b.root")) & near)
-        else:
-            here = materialise(whole.join(mixed.select("key", "main"), "key"), "mixed")
-            a, b = here.where("root <> main").alias("a"), here.alias("b")
-            found = a.join(b, "key").where((F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.row") < F.col("b.row"))) & near)
-        far = F.bit_count(F.col("a.part").bitwiseXOR(F.col("b.part")))
-        found = found.select(F.col("a.row").alias("x"), F.least("a.row", "b.row").alias("u"), F.greatest("a.row", "b.row").alias("v"), far.alias("far"))
-        if tried is not None:
-            found = found.join(tried, ["u", "v"], "left_anti")
-        if turn < rounds:
-            found = found.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy("far", "u", "v"))).where(F.col("nth") <= tries)
-        pairs = materialise(found.select("u", "v").distinct(), "pairs")
-        if not pairs.limit(1).count():
-            if turn < rounds:
-                continue
-            break
-        fresh = materialise(_verified(pairs, rows, similarity), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn < rounds and fresh.limit(1).count():
-            roots = connected_components(links, "near-cc").select(F.col("u").alias("row"), F.col("v").alias("root"))
-    return links if links is not None else met.select(F.col("row").alias("u"), F.col("row").alias("v")).limit(0)
+    here = F.struct("row", "size", "part")
+    order = Window.partitionBy("key").orderBy("part", "row")
+    met = _wide_keys(classes).withColumn("met", F.array(*(F.lead(here, k).over(order) for k in range(1, after + 1)), F.first(here).over(order)))
+
+    def near(other):
+        alike = F.bit_count(F.col("part").bitwiseXOR(other["part"])) <= flips
+        return other.isNotNull() & (other["row"] != F.col("row")) & alike & (below * F.least(F.col("size"), other["size"]) >= above * F.greatest(F.col("size"), other["size"]))
+
+    found = met.select("row", "part", F.filter("met", near).alias("met")).where(F.size("met") > 0).select("row", "part", F.explode("met").alias("other"))
+    found = found.select("row", F.col("other.row").alias("other"), F.bit_count(F.col("part").bitwiseXOR(F.col("other.part"))).alias("far")).distinct()
+    by_far, by_row = Window.partitionBy("row").orderBy("far", "other"), Window.partitionBy("row").orderBy("other")
+    found = found.withColumn("a", F.row_number().over(by_far)).withColumn("b", F.row_number().over(by_row)).where((F.col("a") <= nearest) | (F.col("b") <= 2))
+    pairs = materialise(found.select(F.least("row", "other").alias("u"), F.greatest("row", "other").alias("v")).distinct(), "pairs")
+    return _verified(pairs, rows, similarity)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest id, any one of them where that id repeats.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and all that
-    such links reach. They are found by wide fingerprints: 32 Golay segments, of which 96 pairs make keys. A pair
-    at 0.8 is found with a probability of 0.95 or more, at 0.85 of 0.99 (tests); texts of equal sets always are.
-    Rows are told apart by a key, so rows of one id or without an id stay if their texts lie in different
-    groups. A row whose id is null stays only where its whole group has no id. Wordless and null texts are copies of
-    each other. An empty table stays empty.
+    such links reach. They are found by wide fingerprints of three-word shingles: 32 Golay segments, of which 96
+    threes make keys. Tests hold the share of pairs that are found; texts of equal sets always are. Rows are told
+    apart by a key, so rows of one id or without an id stay if their texts lie in different groups. A row whose id
+    is null stays only where its whole group has no id. Wordless and null texts are copies of each other. An empty
+    table stays empty.
     """
     rows, key = numbered(docs, id_col, "keyed")
     texts = rows.select(F.col(key).cast("long").alias("row"), F.col(text_col).alias("text"))
     made = materialise(sketches(texts), "sketches")
     ids = rows.select(F.col(key).cast("long").alias("row"), F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(key).cast("long").alias("row")).alias("own"))
-    classes = materialise(made.join(ids, "row").groupBy("same").agg(F.min("own").alias("low"), F.min(F.struct("row", "size", "words")).alias("one")).select("low", "one.*"), "classes")
+    if key == id_col:
+        owned = made.withColumn("own", F.struct(F.lit(False).alias("absent"), F.col("row").alias("id"), "row"))
+    else:
+        owned = made.join(ids, "row")
+    classes = materialise(owned.groupBy("same").agg(F.min("own").alias("low"), F.min(F.struct("row", "size", "words")).alias("one")).select("low", "one.*"), "classes")
+    discard(made)
     parts = connected_components(near_links(texts, classes, **options), "near-cc").select(F.col("u").alias("row"), F.col("v").alias("root"))
     rooted = classes.join(parts, "row", "left").select(F.coalesce("root", "row").alias("root"), "low")
-    keep = measured(materialise(rooted.groupBy("root").agg(F.min("low").getField("row").alias("__kept")).select("__kept"), "kept"))
-    return rows.join(keep, F.col(key) == F.col("__kept"), "left_semi").select(*docs.columns)
+    keep = materialise(rooted.groupBy("root").agg(F.min("low").getField("row").alias("__kept")).select("__kept"), "kept")
+    discard(classes)
+    return rows.join(measured(keep), F.col(key) == F.col("__kept"), "left_semi").select(*docs.columns)
