@@ -3,13 +3,17 @@
 Both models share one vocabulary, order and smoothing. Words are runs of bytes outside ASCII white
 space, A-Z lower-cased; the vocabulary is the ``vocab`` most frequent words of the whole corpus,
 the rest is one unknown word. Bigrams are counted over all documents (background) and over the
-target rows, hashed into ``2**bits`` buckets: each task sums its own and sends them in chunks,
-which are added up stream-wise. So what is gathered grows with the input, while the model that
-goes back to the executors has a size fixed by these two parameters (16 MB of counts by default).
+target rows, hashed into ``2**bits`` buckets: each task sums its own and sends those that aren't
+zero, which are added up stream-wise. So what is gathered grows with the input, while the model that
+goes back to the executors has a size fixed by these two parameters (32 MB of counts by default).
 
 The loss of a word is -log2 of the bigram estimate interpolated with the smoothed unigram one. A
+document is scored by what the other documents hold: its own counts are left out of the background
+and, where it is a target row, of the target model, so being labelled changes no score by itself. A
 document's score is the difference of its losses a token, target less background: lower is nearer
-to the target. Null or wordless texts have no tokens and null losses. Repeated rows count each.
+to the target. Null or wordless texts have no tokens and null losses. Repeated rows count each and
+are others to each other. Of equally frequent words the first in byte order are in the vocabulary.
+Without target rows the target model is flat. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,22 +91,46 @@ class Model:
 
     def prepare(self, one: np.ndarray, two: np.ndarray) -> None:
         """one: (2, size) counts of words, two: (2, buckets) counts of bigrams; row 0 the target's."""
-        self.two = two
-        # Histories: word counts stand for how often a word is followed, but for text ends.
-        self.history = np.maximum(one, 1).astype(np.float64)
-        self.single = (one + self.smooth) / (one.sum(1, keepdims=True) + self.smooth * self.size)
+        self.one, self.two = one.astype(np.int64), two
+        self.total = self.one.sum(1)
 
-    def losses(self, ids: np.ndarray) -> tuple[float, float]:
-        """Bits a token under the target and the background model."""
+    def losses(self, ids: np.ndarray, aim: bool) -> tuple[float, float]:
+        """Bits a token under the target and the background model, without the text's own counts; ``aim``: it is a target row."""
         at, before, now = self.buckets(ids), ids[:-1], ids[1:]
+        own_two, own_one = _own(at), _own(ids)
         out = []
-        for k in (0, 1):
-            pair = np.minimum(self.two[k][at] / self.history[k][before], 1.0)
-            out.append(float(-np.log2(self.mix * pair + (1 - self.mix) * self.single[k][now]).mean()))
+        for k, held in ((0, int(aim)), (1, 1)):
+            # Word counts stand for how often a word is followed, but for text ends.
+            history = np.maximum(self.one[k][before] - held * own_one[:-1], 1)
+            pair = np.minimum((self.two[k][at].astype(np.int64) - held * own_two) / history, 1.0)
+            single = (self.one[k][now] - held * own_one[1:] + self.smooth) / (self.total[k] - held * len(ids) + self.smooth * self.size)
+            out.append(float(-np.log2(self.mix * pair + (1 - self.mix) * single).mean()))
         return out[0], out[1]
 
 
-def fit(rows: DataFrame, vocab: int = 16_382, bits: int = 21) -> Model:
+def _own(x: np.ndarray) -> np.ndarray:
+    """How often each element's value stands in the array."""
+    _, where, n = np.unique(x, return_inverse=True, return_counts=True)
+    return n[where]
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """The cells of a (2, CHUNK) table that aren't zero: how many in the first row, places, counts."""
+    at = [np.flatnonzero(row) for row in counts]
+    return np.array([len(at[0]), len(at[1])], np.int64).tobytes() + b"".join(a.astype(np.int64).tobytes() + row[a].astype(np.int64).tobytes() for a, row in zip(at, counts))
+
+
+def _unpack(data, into: np.ndarray) -> None:
+    """Adds a packed table."""
+    x = np.frombuffer(data, np.int64)
+    n = x[:2]
+    begin = 2
+    for k in (0, 1):
+        into[k, x[begin : begin + n[k]]] += x[begin + n[k] : begin + 2 * n[k]]
+        begin += 2 * n[k]
+
+
+def fit(rows: DataFrame, vocab: int = 16_382, bits: int = 22) -> Model:
     """The model of rows (text, aim)."""
     counted = materialise(word_counts(rows), "words")
     top = counted.orderBy(F.desc("n"), "word").limit(vocab).collect()  # at most ``vocab`` rows
@@ -110,8 +138,8 @@ def fit(rows: DataFrame, vocab: int = 16_382, bits: int = 21) -> Model:
     model = Model([bytes(r["word"]) for r in top], bits)
 
     def count(batches):
-        sums = np.zeros((2, 1 << bits), np.uint32)
-        starts = np.zeros(2, np.int64)
+        sums = np.zeros((2, 1 << bits), np.uint32)  # a task's own counts
+        starts = np.zeros((2, CHUNK), np.int64)
         for batch in batches:
             aims = batch.column(1).to_pylist()
             for at, texts in text_slices(batch, 0):
@@ -121,41 +149,39 @@ def fit(rows: DataFrame, vocab: int = 16_382, bits: int = 21) -> Model:
                     if len(ids) > 1:
                         b = model.buckets(ids)
                         found[1].append(b)
-                        starts[1] += 1
+                        starts[1, 0] += 1
                         if aims[at + k]:
                             found[0].append(b)
-                            starts[0] += 1
+                            starts[0, 0] += 1
                 for k in (0, 1):
                     if found[k]:
                         where, n = np.unique(np.concatenate(found[k]), return_counts=True)
                         sums[k, where] += n.astype(np.uint32)
         salt = TaskContext.get().partitionId()
         for c in range(-1, (1 << bits) // CHUNK):
-            data = starts.tobytes() if c < 0 else sums[:, c * CHUNK : (c + 1) * CHUNK].tobytes()
-            yield pa.record_batch([pa.array([c], pa.int32()), pa.array([salt % 16], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "salt", "data"])
+            part = starts if c < 0 else sums[:, c * CHUNK : (c + 1) * CHUNK]
+            if part.any():
+                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([salt % 16], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["chunk", "salt", "data"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(data.as_buffer(), np.int64 if c < 0 or data.as_buffer().size > 8 * CHUNK else np.uint32).astype(np.int64)
-                sums[c] = sums[c] + part if c in sums else part
+                _unpack(data.as_buffer(), sums.setdefault(c, np.zeros((2, CHUNK), np.int64)))
         for c, part in sums.items():
-            yield pa.record_batch([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "data"])
+            yield pa.record_batch([pa.array([c], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["chunk", "data"])
 
     parts = rows.select("text", "aim").mapInArrow(count, "chunk int, salt int, data binary")
     few = parts.repartition("chunk", "salt").select("chunk", "data").mapInArrow(add, "chunk int, data binary")
     whole = few.repartition("chunk").mapInArrow(add, "chunk int, data binary")
-    two = np.zeros((2, 1 << bits), np.uint32)
-    starts = np.zeros(2, np.int64)
+    two = np.zeros((2, 1 << bits), np.int64)
+    starts = np.zeros((2, CHUNK), np.int64)
     for r in materialise(whole, "bigrams").toLocalIterator():  # one chunk at a time, 2**bits counts of both corpora in all
-        part = np.frombuffer(r["data"], np.int64)
-        if r["chunk"] < 0:
-            starts = part
-        else:
-            two[:, r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = part.reshape(2, -1)
+        _unpack(r["data"], starts if r["chunk"] < 0 else two[:, r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK])
+    if two.max(initial=0) < 1 << 32:
+        two = two.astype(np.uint32)
     one = np.zeros((2, model.size), np.int64)
-    one[:, 0] = starts
+    one[:, 0] = starts[:, 0]
     for k, r in enumerate(top):
         one[:, k + 2] = r["aimed"], r["n"]
     one[:, 1] = (total[1] or 0) - one[0, 2:].sum(), (total[0] or 0) - one[1, 2:].sum()
@@ -164,25 +190,26 @@ def fit(rows: DataFrame, vocab: int = 16_382, bits: int = 21) -> Model:
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, difference) of rows (id, text)."""
-    state = (list(model.index), model.bits, model.mix, model.smooth, model.two, model.history, model.single)
+    """(id, n_tokens, target_loss, background_loss, difference) of rows (id, text, aim)."""
+    state = (list(model.index), model.bits, model.mix, model.smooth, model.two, model.one, model.total)
     spread = rows.sparkSession.sparkContext.broadcast(state)
 
     def run(batches):
         m = Model(*spread.value[:4])
-        m.two, m.history, m.single = spread.value[4:]
+        m.two, m.one, m.total = spread.value[4:]
         for batch in batches:
             n, losses = [], []
-            for _, texts in text_slices(batch, 1):
-                for text in texts:
+            aims = batch.column(2).to_pylist()
+            for at, texts in text_slices(batch, 1):
+                for k, text in enumerate(texts):
                     ids = m.ids(text)
                     n.append(len(ids) - 1)
-                    losses.append(m.losses(ids) if len(ids) > 1 else (None, None))
+                    losses.append(m.losses(ids, aims[at + k]) if len(ids) > 1 else (None, None))
             t, b = zip(*losses) if losses else ((), ())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array([None if x is None else x - y for x, y in losses], pa.float64())], names=["id", "n_tokens", "target_loss", "background_loss", "difference"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text").mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
+    return rows.select("id", "text", "aim").mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
 
 
 def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -482,7 +482,38 @@ def test_counts_by_hand(spark):
         ids = m.ids(text)
         pairs.update(m.buckets(ids).tolist())
     assert {int(k): int(m.two[1][k]) for k in np.flatnonzero(m.two[1])} == dict(pairs)
-    assert int(m.two[0].sum()) == 4 and m.history[1][0] == 2
+    assert int(m.two[0].sum()) == 4 and m.one[1][0] == 2
+
+
+def test_losses_by_brute_force(spark, docs, rows):
+    """Every document against a model counted anew from all others, by word pairs instead of buckets."""
+    aimed = set(range(0, 30))
+    aim = spark.createDataFrame([(i,) for i in aimed], "doc_id long")
+    got = Counter((r["id"], r["n_tokens"], r["target_loss"] and round(r["target_loss"], 6), r["background_loss"] and round(r["background_loss"], 6)) for r in lmscore.score_documents(docs, aim, vocab=40).collect())
+    words = [lmscore.words(r["text"]) for r in rows]
+    top = {w for w, _ in sorted(Counter(w for x in words for w in x).items(), key=lambda p: (-p[1], p[0]))[:40]}
+    ids = [["<s>", *(w if w in top else "?" for w in x)] if x else [] for x in words]
+    want = Counter()
+    for i, x in enumerate(ids):
+        losses = []
+        for target in (True, False):
+            others = [y for j, y in enumerate(ids) if j != i and (not target or rows[j]["doc_id"] in aimed)]
+            one, two = Counter(w for y in others for w in y), Counter(p for y in others for p in zip(y, y[1:]))
+            total = sum(one.values())
+            bits = [-math.log2(0.7 * min(two[a, b] / max(one[a], 1), 1) + 0.3 * (one[b] + 0.5) / (total + 0.5 * 42)) for a, b in zip(x, x[1:])]
+            losses.append(round(sum(bits) / len(bits), 6) if bits else None)
+        want[(rows[i]["doc_id"], max(0, len(x) - 1), *losses)] += 1
+    assert got == want
+
+
+def test_being_labelled_changes_no_score(spark):
+    docs = spark.createDataFrame([(i, f"the {'cat' if i % 2 else 'dog'} number {i * 7919} sat by {i * 31} and w{i}") for i in range(200)], "doc_id long, text string")
+    aim = spark.createDataFrame([(i,) for i in range(1, 100, 2)], "doc_id long")
+    by = defaultdict(list)
+    for r in lmscore.score_documents(docs, aim).collect():
+        by["labelled" if r["id"] % 2 and r["id"] < 100 else "held out" if r["id"] % 2 else "other"].append(r["difference"])
+    labelled, held, other = (float(np.mean(by[k])) for k in ("labelled", "held out", "other"))
+    assert abs(labelled - held) < 0.1 and other > held + 0.1
 
 
 def test_licences(spark, docs):
