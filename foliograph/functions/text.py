@@ -101,12 +101,16 @@ def version_number(raw: Column) -> Column:
     return F.coalesce(F.regexp_extract(empty(raw), "v([0-9]+)", 1).try_cast("int"), F.lit(0))
 
 
+#: Fixed value: what no heading holds.
+NO_HEADING = r"[-=]{2,}|\\|/|[∑∫√≤≥≠≈±]"
+
+
 def heading(line: Column) -> Column:
     """Whether a line looks like a heading."""
     s = collapse(empty(line))
-    letters = F.regexp_count(s, F.lit("[A-Za-z]"))
-    upper = F.regexp_count(s, F.lit("[A-Z]"))
-    no = (F.length(s) > 120) | (letters < 3) | s.rlike(r"[-=]{2,}|\\|/") | s.rlike(r"\b[A-Za-z]\s*[=<>]\s*[-+0-9A-Za-z]") | (F.regexp_count(s, F.lit("-")) >= 3)
+    letters = F.regexp_count(s, F.lit(r"\p{L}"))
+    upper = F.regexp_count(s, F.lit(r"\p{Lu}"))
+    no = (F.length(s) > 120) | (letters < 3) | s.rlike(NO_HEADING) | s.rlike(r"\b[A-Za-z]\s*[=<>]\s*[-+0-9A-Za-z]") | (F.regexp_count(s, F.lit("-")) >= 3)
     known = F.rtrim(F.lower(s), F.lit(".:")).isin(*HEADINGS)
     numbered = s.rlike(r"^[0-9]+(\.[0-9]+)*\s+[A-Z]") | s.rlike(r"^(Appendix|Section)\b")
     shout = (upper > 0.72 * letters) & (F.size(F.split(s, " ")) <= 8)

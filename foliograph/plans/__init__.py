@@ -1,3 +1,3 @@
 """Queries; importing this package registers all of them."""
 
-from . import catalogue, extra, more  # noqa: F401
+from . import catalogue, extra, further, more  # noqa: F401

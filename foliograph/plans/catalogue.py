@@ -453,8 +453,8 @@ def consecutive_dedup(spark, sf_dir):
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 s AS (SELECT *, trim(regexp_replace(line, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM l),
-c AS (SELECT *, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper FROM s),
-h AS (SELECT *, CASE WHEN NOT (length(t) > 120 OR letters < 3 OR regexp_matches(t, '[-=]{2,}|\\\\|/') OR regexp_matches(t, '\\b[A-Za-z]\\s*[=<>]\\s*[-+0-9A-Za-z]') OR length(t) - length(replace(t, '-', '')) >= 3)
+c AS (SELECT *, length(t) - length(regexp_replace(t, '\\p{L}', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '\\p{Lu}', '', 'g')) AS upper FROM s),
+h AS (SELECT *, CASE WHEN NOT (length(t) > 120 OR letters < 3 OR regexp_matches(t, '[-=]{2,}|\\\\|/|[∑∫√≤≥≠≈±]') OR regexp_matches(t, '\\b[A-Za-z]\\s*[=<>]\\s*[-+0-9A-Za-z]') OR length(t) - length(replace(t, '-', '')) >= 3)
  AND (list_contains(['abstract','introduction','references','acknowledgements','acknowledgments','appendix','conclusion','conclusions','discussion','results','method','methods','related work','experiments'], rtrim(lower(t), '.:')) OR regexp_matches(t, '^[0-9]+(\\.[0-9]+)*\\s+[A-Z]') OR regexp_matches(t, '^(Appendix|Section)\\b') OR (upper > 0.72 * letters AND len(string_split(t, ' ')) <= 8)) THEN 1 ELSE 0 END AS head FROM c),
 g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM h)
 SELECT doc_id, block::BIGINT AS block, count(*) AS n_lines, sum(length(t))::BIGINT AS n_chars, max(head)::INTEGER AS headed FROM g GROUP BY doc_id, block""")
