@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session within one process may leave it unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="foliograph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
