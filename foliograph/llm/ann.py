@@ -10,8 +10,9 @@ entries of these cells are reranked by the exact cosine in double precision.
 Equal vectors are one entry of the index with its ``k + 1`` smallest ids: no others can be among
 k nearest when ties go to smaller ids. So a vector that a third of all rows share costs one
 entry, and is searched once for all queries that have it. The index is dealt into blocks by a
-hash of the entry, so a crowded cell is spread over tasks; a query goes to each block once, with
-the cells it visits, and a block returns the query's k + 1 best only.
+hash of the entry, so a crowded cell is spread over tasks, and queries into groups of about
+``queries_at_once``; a task holds one block and one group, whatever the size of the table. A query
+goes to each block once, with the cells it visits, and a block returns the query's k + 1 best only.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component, or whose length
 differs from the most frequent one, take no part: they are neither queries nor candidates. With
@@ -75,7 +76,7 @@ def visit(left: np.ndarray, right: np.ndarray, counts: np.ndarray, entries: int)
     return cells
 
 
-def search(vectors: DataFrame, id_col: str, vec_col: str, queries, k: int = 5, centroids: int = 32, sample: int = 8_192, entries: int = 4_000, share: float = 0.5, block: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, id_col: str, vec_col: str, queries, k: int = 5, centroids: int = 32, sample: int = 8_192, entries: int = 4_000, share: float = 0.5, block: int = 4_096, queries_at_once: int = 2_048) -> DataFrame:
     """(query_id, rank, id, score): each query's k nearest other rows. ``queries``: a condition on the id column.
 
     ``entries`` that exceed the table, or a ``share`` of 1, make the search exact. The default share
@@ -123,10 +124,11 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, queries, k: int = 5, c
             yield pa.record_batch([*batch.columns[:2], pa.array(cells, pa.list_(pa.int32()))], names=["qkey", "qvec", "cells"])
 
     asked = keyed.where("asks").groupBy("key").agg(F.min(F.struct("vec")).getField("vec").alias("vec"))
-    visits = asked.mapInArrow(ask, "qkey long, qvec array<double>, cells array<int>")
-    spread = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = entered.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
-    both = spread.groupBy("block").cogroup(dealt.groupBy("block"))
+    visits = materialise(asked.mapInArrow(ask, "qkey long, qvec array<double>, cells array<int>"), "visits")
+    groups = max(1, -(-visits.count() // queries_at_once))
+    spread = visits.withColumn("part", F.pmod("qkey", F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = entered.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    both = spread.groupBy("block", "part").cogroup(dealt.groupBy("block", "part"))
 
     def rerank(asks: pa.Table, index: pa.Table) -> pa.Table:
         out = [[], [], []]
