@@ -1,35 +1,38 @@
 """Cross-entropy difference: documents scored by matched target and background bigram models.
 
 Both models share one vocabulary, order and smoothing. Words are runs of bytes outside ASCII white
-space, A-Z lower-cased; the vocabulary is the ``vocab`` most frequent words of the whole corpus,
-the rest is one unknown word. Bigrams are counted over all documents (background) and over the
-target rows, hashed into ``2**bits`` buckets: each task sums its own and sends those that aren't
-zero, which are added up stream-wise. So what is gathered grows with the input, while the model that
-goes back to the executors has a size fixed by these two parameters (32 MB of counts by default).
+space, A-Z lower-cased. The vocabulary is every word of the corpus, and the counts of words and of
+word pairs are exact over all documents (background) and over the target rows, so what is gathered
+grows with the input. The counts are never in one place: documents are read in blocks of bounded
+size, a block asks for the words and pairs that it holds, once each with its own counts, and the
+buckets that keys are dealt to add up what all blocks hold and answer. A bucket's size is bounded by
+``bucket_bytes`` of text, whatever the corpus, but for one pair's rows: one for each block. Words and
+pairs are told apart by 63-bit hashes.
 
 The loss of a word is -log2 of the bigram estimate interpolated with the smoothed unigram one. A
 document is scored by what the other documents hold: its own counts are left out of the background
 and, where it is a target row, of the target model, so being labelled changes no score by itself. A
 document's score is the difference of its losses a token, target less background: lower is nearer
 to the target. Null or wordless texts have no tokens and null losses. Repeated rows count each and
-are others to each other. Of equally frequent words the first in byte order are in the vocabulary.
-Without target rows the target model is flat. An empty table gives no rows.
+are others to each other. Ties play no part. Without target rows the target model is flat. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_slices
 
-CHUNK = 1 << 14
+#: Marks where a text starts; no word is empty.
+START = b""
 
 
 def words(text: str | None) -> list[bytes]:
@@ -44,68 +47,23 @@ def flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, broa
     return rows.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("tid"), "left").select("id", "text", F.col("tid").isNotNull().cast("int").alias("aim"))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n, aimed): occurrences in all rows and in target rows."""
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Odd keys of pairs of word keys."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + ((b << np.uint64(31)) | (b >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x165667B19E3779F9)
+    return (x ^ (x >> np.uint64(32))) | np.uint64(1)
 
-    def run(batches):
-        every, aimed = Counter(), Counter()
 
-        def table():
-            keys = list(every)
-            for k in range(0, len(keys), 50_000):
-                part = keys[k : k + 50_000]
-                yield pa.record_batch([pa.array(part, pa.binary()), pa.array([every[w] for w in part], pa.int64()), pa.array([aimed[w] for w in part], pa.int64())], names=["word", "n", "aimed"])
-            every.clear()
-            aimed.clear()
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs."""
+    top = int(x.max(initial=0))
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
 
-        for batch in batches:
-            aims = batch.column(1).to_pylist()
-            for at, texts in text_slices(batch, 0):
-                for k, text in enumerate(texts):
-                    w = words(text)
-                    every.update(w)
-                    if aims[at + k]:
-                        aimed.update(w)
-                if len(every) > 400_000:
-                    yield from table()
-        yield from table()
-
-    return rows.select("text", "aim").mapInArrow(run, "word binary, n long, aimed long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("aimed").alias("aimed"))
-
-
-class Model:
-    """Unigram and hashed bigram counts of both corpora, and their losses."""
-
-    def __init__(self, vocabulary: list[bytes], bits: int, mix: float = 0.7, smooth: float = 0.5):
-        self.bits, self.mix, self.smooth = bits, mix, smooth
-        self.index = {w: k + 2 for k, w in enumerate(vocabulary)}  # 0 starts a text, 1 is unknown
-        self.size = len(vocabulary) + 2
-
-    def ids(self, text: str | None) -> np.ndarray:
-        w = words(text)
-        return np.array([0, *map(self.index.get, w, repeat(1))], np.int64)
-
-    def buckets(self, ids: np.ndarray) -> np.ndarray:
-        key = (ids[:-1] * self.size + ids[1:]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def prepare(self, one: np.ndarray, two: np.ndarray) -> None:
-        """one: (2, size) counts of words, two: (2, buckets) counts of bigrams; row 0 the target's."""
-        self.one, self.two = one.astype(np.int64), two
-        self.total = self.one.sum(1)
-
-    def losses(self, ids: np.ndarray, aim: bool) -> tuple[float, float]:
-        """Bits a token under the target and the background model, without the text's own counts; ``aim``: it is a target row."""
-        at, before, now = self.buckets(ids), ids[:-1], ids[1:]
-        own_two, own_one = _own(at), _own(ids)
-        out = []
-        for k, held in ((0, int(aim)), (1, 1)):
-            # Word counts stand for how often a word is followed, but for text ends.
-            history = np.maximum(self.one[k][before] - held * own_one[:-1], 1)
-            pair = np.minimum((self.two[k][at].astype(np.int64) - held * own_two) / history, 1.0)
-            single = (self.one[k][now] - held * own_one[1:] + self.smooth) / (self.total[k] - held * len(ids) + self.smooth * self.size)
-            out.append(float(-np.log2(self.mix * pair + (1 - self.mix) * single).mean()))
-        return out[0], out[1]
+
+def _wide(data, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``_narrow`` packed."""
+    return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -114,105 +72,173 @@ def _own(x: np.ndarray) -> np.ndarray:
     return n[where]
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    """The cells of a (2, CHUNK) table that aren't zero: how many in the first row, places, counts."""
-    at = [np.flatnonzero(row) for row in counts]
-    return np.array([len(at[0]), len(at[1])], np.int64).tobytes() + b"".join(a.astype(np.int64).tobytes() + row[a].astype(np.int64).tobytes() for a, row in zip(at, counts))
+class Block:
+    """Some documents as word numbers, and the sorted keys of their words and pairs."""
+
+    def __init__(self, seq: np.ndarray, lengths: np.ndarray, aims: np.ndarray, word_keys: np.ndarray):
+        """``seq``: all texts in a row, each from its start mark on; ``lengths`` with the mark, 0 for wordless texts."""
+        self.seq, self.lengths, self.aims, self.word_keys = seq, lengths, aims, word_keys
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        follows = np.ones(len(seq), bool)
+        follows[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+        self.at = np.flatnonzero(follows)
+        pair_keys, self.pair = np.unique(_pair_keys(word_keys[seq[self.at - 1]], word_keys[seq[self.at]]), return_inverse=True)
+        self.n_pairs = len(pair_keys)
+        keys = np.concatenate([word_keys, pair_keys])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    @classmethod
+    def read(cls, texts: list[str | None], aims: list[int]) -> Block:
+        index: dict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        parts, lengths = [], []
+        for text in texts:
+            w = words(text)
+            lengths.append(len(w) + 1 if w else 0)
+            if w:
+                parts.append(np.fromiter(map(index.__getitem__, [START, *w]), np.uint32, len(w) + 1))
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)) & ~np.uint64(1)
+        return cls(np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array(lengths, np.int64), np.array(aims, np.int64), keys)
+
+    def cuts(self, bits: int) -> np.ndarray:
+        """Where the keys of each of the ``2**bits`` buckets begin, and the end of the last."""
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.keys, edges), [len(self.keys)]])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """By key, how often it stands in the block and in its target rows."""
+        out = []
+        for held in (np.ones(len(self.aims), bool), self.aims > 0):
+            some = held[self.doc]
+            pairs = np.bincount(self.pair[some[self.at]], minlength=self.n_pairs)
+            out.append(np.concatenate([np.bincount(self.seq[some], minlength=len(self.word_keys)), pairs])[self.order])
+        return out[0], out[1]
 
+    def losses(self, every: np.ndarray, aimed: np.ndarray, totals: tuple[int, int, int], mix: float, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a token of each document under the target and the background model, without its own counts.
 
-def _unpack(data, into: np.ndarray) -> None:
-    """Adds a packed table."""
-    x = np.frombuffer(data, np.int64)
-    n = x[:2]
-    begin = 2
-    for k in (0, 1):
-        into[k, x[begin : begin + n[k]]] += x[begin + n[k] : begin + 2 * n[k]]
-        begin += 2 * n[k]
+        ``every`` and ``aimed`` are the corpus's counts by key; ``totals`` are distinct words, and words in all and in target rows.
+        """
+        n, at, doc = len(self.word_keys), self.at, self.doc[self.at]
+        own_two, own_one = _own(doc * max(self.n_pairs, 1) + self.pair), _own(self.doc * max(n, 1) + self.seq)
+        size, tokens = totals[0], np.maximum(self.lengths - 1, 1)
+        out = []
+        for sums, total, held in ((aimed, totals[2], self.aims), (every, totals[1], np.ones_like(self.aims))):
+            found = np.empty(len(sums), np.int64)
+            found[self.order] = sums
+            one, two, held_at = found[:n], found[n:], held[doc]
+            # Word counts stand for how often a word is followed, but for text ends.
+            history = np.maximum(one[self.seq[at - 1]] - held_at * own_one[at - 1], 1)
+            pair = (two[self.pair] - held_at * own_two) / history
+            single = (one[self.seq[at]] - held_at * own_one[at] + smooth) / (total - (held * self.lengths)[doc] + smooth * size)
+            out.append(np.bincount(doc, -np.log2(mix * pair + (1 - mix) * single), len(self.lengths)) / tokens)
+        return out[0], out[1]
 
 
-def fit(rows: DataFrame, vocab: int = 16_382, bits: int = 22) -> Model:
-    """The model of rows (text, aim)."""
-    counted = materialise(word_counts(rows), "words")
-    top = counted.orderBy(F.desc("n"), "word").limit(vocab).collect()  # at most ``vocab`` rows
-    total = counted.agg(F.sum("n"), F.sum("aimed")).first()
-    model = Model([bytes(r["word"]) for r in top], bits)
+def ask(rows: DataFrame, bits: int, block_bytes: int) -> DataFrame:
+    """Blocks and what they ask for, from rows (id, text, aim).
 
-    def count(batches):
-        sums = np.zeros((2, 1 << bits), np.uint32)  # a task's own counts
-        starts = np.zeros((2, CHUNK), np.int64)
-        for batch in batches:
-            aims = batch.column(1).to_pylist()
-            for at, texts in text_slices(batch, 0):
-                found: list[list[np.ndarray]] = [[], []]
-                for k, text in enumerate(texts):
-                    ids = model.ids(text)
-                    if len(ids) > 1:
-                        b = model.buckets(ids)
-                        found[1].append(b)
-                        starts[1, 0] += 1
-                        if aims[at + k]:
-                            found[0].append(b)
-                            starts[0, 0] += 1
-                for k in (0, 1):
-                    if found[k]:
-                        where, n = np.unique(np.concatenate(found[k]), return_counts=True)
-                        sums[k, where] += n.astype(np.uint32)
-        salt = TaskContext.get().partitionId()
-        for c in range(-1, (1 << bits) // CHUNK):
-            part = starts if c < 0 else sums[:, c * CHUNK : (c + 1) * CHUNK]
-            if part.any():
-                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([salt % 16], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["chunk", "salt", "data"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _unpack(data.as_buffer(), sums.setdefault(c, np.zeros((2, CHUNK), np.int64)))
-        for c, part in sums.items():
-            yield pa.record_batch([pa.array([c], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["chunk", "data"])
-
-    parts = rows.select("text", "aim").mapInArrow(count, "chunk int, salt int, data binary")
-    few = parts.repartition("chunk", "salt").select("chunk", "data").mapInArrow(add, "chunk int, data binary")
-    whole = few.repartition("chunk").mapInArrow(add, "chunk int, data binary")
-    two = np.zeros((2, 1 << bits), np.int64)
-    starts = np.zeros((2, CHUNK), np.int64)
-    for r in materialise(whole, "bigrams").toLocalIterator():  # one chunk at a time, 2**bits counts of both corpora in all
-        _unpack(r["data"], starts if r["chunk"] < 0 else two[:, r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK])
-    if two.max(initial=0) < 1 << 32:
-        two = two.astype(np.uint32)
-    one = np.zeros((2, model.size), np.int64)
-    one[:, 0] = starts[:, 0]
-    for k, r in enumerate(top):
-        one[:, k + 2] = r["aimed"], r["n"]
-    one[:, 1] = (total[1] or 0) - one[0, 2:].sum(), (total[0] or 0) - one[1, 2:].sum()
-    model.prepare(one, two)
-    return model
-
-
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, difference) of rows (id, text, aim)."""
-    state = (list(model.index), model.bits, model.mix, model.smooth, model.two, model.one, model.total)
-    spread = rows.sparkSession.sparkContext.broadcast(state)
+    Bucket -1 holds a block: its ids, word keys, word numbers (``n``), and lengths with target marks
+    (``aimed``). The others hold its keys in that bucket, and their counts in all and in target rows.
+    """
 
     def run(batches):
-        m = Model(*spread.value[:4])
-        m.two, m.one, m.total = spread.value[4:]
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            n, losses = [], []
             aims = batch.column(2).to_pylist()
-            for at, texts in text_slices(batch, 1):
-                for k, text in enumerate(texts):
-                    ids = m.ids(text)
-                    n.append(len(ids) - 1)
-                    losses.append(m.losses(ids, aims[at + k]) if len(ids) > 1 else (None, None))
-            t, b = zip(*losses) if losses else ((), ())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array([None if x is None else x - y for x, y in losses], pa.float64())], names=["id", "n_tokens", "target_loss", "background_loss", "difference"])
+            for at, texts in text_slices(batch, 1, 1 << 20, block_bytes):
+                b = Block.read(texts, aims[at : at + len(texts)])
+                every, aimed = b.counts()
+                cuts = b.cuts(bits)
+                held = np.flatnonzero(np.diff(cuts))
+                spans = list(zip(cuts[held].tolist(), cuts[held + 1].tolist()))
+                ids = pa.ListArray.from_arrays(pa.array([0, len(texts), *[len(texts)] * len(held)], pa.int32()), batch.column(0).slice(at, len(texts)))
+                yield pa.record_batch(
+                    [
+                        pa.array([block] * (len(held) + 1), pa.int64()),
+                        pa.array([-1, *held.tolist()], pa.int32()),
+                        ids,
+                        pa.array([b.word_keys.tobytes(), *(b.keys[x:y].tobytes() for x, y in spans)], pa.binary()),
+                        pa.array([_narrow(b.seq), *(_narrow(every[x:y]) for x, y in spans)], pa.binary()),
+                        pa.array([(b.lengths * 2 + b.aims).tobytes(), *(_narrow(aimed[x:y]) for x, y in spans)], pa.binary()),
+                    ],
+                    names=["block", "bucket", "ids", "keys", "n", "aimed"],
+                )
+                block += 1
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text", "aim").mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
-
-
-def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Every row of ``docs`` scored; ``target`` holds the ids of the target documents in its first column."""
+    return rows.select("id", "text", "aim").mapInArrow(run, f"block long, bucket int, ids array<{kind}>, keys binary, n binary, aimed binary")
+
+
+def answer(asked: DataFrame) -> DataFrame:
+    """For each block and bucket the corpus's counts of the keys asked for; block -1 holds a bucket's distinct words and words in all and in target rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["keys"]]
+        ends = np.cumsum([len(k) for k in keys])
+        seen, where = np.unique(np.concatenate(keys), return_inverse=True)
+        packed, sums = [], []
+        for name in ("n", "aimed"):
+            own = np.concatenate([_wide(x.as_buffer(), len(k)) for x, k in zip(group[name], keys)])
+            sums.append(np.zeros(len(seen), np.int64))
+            np.add.at(sums[-1], where, own)
+            packed.append([_narrow(x) for x in np.split(sums[-1][where], ends[:-1])])
+        word = (seen & np.uint64(1)) == 0
+        rest = [None] * len(keys)
+        return pa.table(
+            {
+                "block": pa.array([*group["block"].to_pylist(), -1], pa.int64()),
+                "bucket": pa.array([*group["bucket"].to_pylist(), group["bucket"][0].as_py()], pa.int32()),
+                "n": pa.array([*packed[0], None], pa.binary()),
+                "aimed": pa.array([*packed[1], None], pa.binary()),
+                "size": pa.array([*rest, int(word.sum())], pa.int64()),
+                "total": pa.array([*rest, int(sums[0][word].sum())], pa.int64()),
+                "aim_total": pa.array([*rest, int(sums[1][word].sum())], pa.int64()),
+            }
+        )
+
+    return asked.where("bucket >= 0").select("block", "bucket", "keys", "n", "aimed").groupBy("bucket").applyInArrow(run, "block long, bucket int, n binary, aimed binary, size long, total long, aim_total long")
+
+
+def score_documents(
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", mix: float = 0.7, smooth: float = 0.5, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20
+) -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, difference) of every row of ``docs``; ``target`` holds the ids of the target documents in its first column."""
     rows = flagged(docs, target, id_col, text_col)
-    return score(rows, fit(rows, **options))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    bits = max(0, (size // bucket_bytes).bit_length())
+    asked = materialise(ask(rows, bits, block_bytes), "asked")
+    answered = materialise(answer(asked), "answered")
+    totals = tuple(x or 0 for x in answered.where("block < 0").agg(F.sum("size"), F.sum("total"), F.sum("aim_total")).first())
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        bucket = group["bucket"].to_pylist()
+        k = bucket.index(-1)
+        packed = np.frombuffer(group["aimed"][k].as_buffer(), np.int64)
+        lengths, aims = packed >> 1, packed & 1
+        b = Block(_wide(group["n"][k].as_buffer(), int(lengths.sum())), lengths, aims, np.frombuffer(group["keys"][k].as_buffer(), np.uint64))
+        cuts = b.cuts(bits)
+        sums = np.zeros((2, len(b.keys)), np.int64)
+        for j, c in enumerate(bucket):
+            if c >= 0:
+                for row, name in zip(sums, ("n", "aimed")):
+                    row[cuts[c] : cuts[c + 1]] = _wide(group[name][j].as_buffer(), int(cuts[c + 1] - cuts[c]))
+        t, g = b.losses(sums[0], sums[1], totals, mix, smooth)
+        none = lengths == 0
+        return pa.table(
+            {
+                "id": group["ids"].chunk(0).slice(k, 1).flatten(),
+                "n_tokens": pa.array(np.maximum(lengths - 1, 0), pa.int64()),
+                "target_loss": pa.array(t, pa.float64(), mask=none),
+                "background_loss": pa.array(g, pa.float64(), mask=none),
+                "difference": pa.array(t - g, pa.float64(), mask=none),
+            }
+        )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = asked.where("bucket < 0")
+    found = answered.where("block >= 0").select("block", "bucket", "n", "aimed")
+    return blocks.unionByName(found, allowMissingColumns=True).groupBy("block").applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")

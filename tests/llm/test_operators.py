@@ -493,33 +493,42 @@ def test_language_bundle_is_the_sum_of_bound_vectors():
 
 def test_scores(spark, docs, rows):
     aim = spark.createDataFrame([(i,) for i in range(0, 30)] + [(None,)], "doc_id long")
-    got = lmscore.score_documents(docs, aim, vocab=50, bits=16).collect()
+    got = lmscore.score_documents(docs, aim).collect()
     assert Counter((r["id"], r["n_tokens"]) for r in got) == Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in rows)
     assert all((r["difference"] is None) == (r["n_tokens"] == 0) for r in got)
     assert all(math.isclose(r["difference"], r["target_loss"] - r["background_loss"]) for r in got if r["n_tokens"])
-    assert lmscore.score_documents(nothing(spark), aim, vocab=50, bits=16).count() == 0
-
-
-def test_counts_by_hand(spark):
-    df = spark.createDataFrame([(1, "a b a B", 1), (2, "b a zz", 0), (3, None, 1)], "id long, text string, aim int")
-    m = lmscore.fit(df, vocab=2, bits=16)
-    assert set(m.index) == {b"a", b"b"}
-    pairs = Counter()
-    for text in ("a b a B", "b a zz"):
-        ids = m.ids(text)
-        pairs.update(m.buckets(ids).tolist())
-    assert {int(k): int(m.two[1][k]) for k in np.flatnonzero(m.two[1])} == dict(pairs)
-    assert int(m.two[0].sum()) == 4 and m.one[1][0] == 2
-
-
-def test_losses_by_brute_force(spark, docs, rows):
-    """Every document against a model counted anew from all others, by word pairs instead of buckets."""
+    assert lmscore.score_documents(nothing(spark), aim).count() == 0
+    clash = docs.withColumn("block", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("aim", F.lit("x")).withColumn("tid", F.lit(0))
+    assert lmscore.score_documents(clash, aim).count() == len(rows)
+    flat = lmscore.score_documents(docs, aim.limit(0)).collect()
+    assert len(flat) == len(rows) and all((r["target_loss"] is None) == (r["n_tokens"] == 0) for r in flat)
+
+
+def test_counts_of_a_block():
+    """Each word and pair of a block stands once among its keys, with its exact counts."""
+    texts, aims = ["a b a B", "b a zz", None, " \n"], [1, 0, 1, 0]
+    b = lmscore.Block.read(texts, aims)
+    key = {w: lmscore.xxhash.xxh64_intdigest(w) & ~1 for w in (b"", b"a", b"b", b"zz")}
+    pair = lambda x, y: int(lmscore._pair_keys(np.array([key[x]], np.uint64), np.array([key[y]], np.uint64))[0])
+    want = {key[b""]: (2, 1), key[b"a"]: (3, 2), key[b"b"]: (3, 2), key[b"zz"]: (1, 0)}
+    want |= {pair(b"", b"a"): (1, 1), pair(b"a", b"b"): (2, 2), pair(b"b", b"a"): (2, 1), pair(b"", b"b"): (1, 0), pair(b"a", b"zz"): (1, 0)}
+    assert dict(zip(b.keys.tolist(), zip(*(x.tolist() for x in b.counts())))) == want
+    for bits in (0, 1, 5):
+        cuts = b.cuts(bits)
+        assert len(cuts) == 2**bits + 1
+        assert all(int(k) >> (64 - bits) == c for c in range(2**bits) for k in b.keys[cuts[c] : cuts[c + 1]])
+    for top in (0, 255, 256, 1 << 16, 1 << 32, 1 << 40):
+        assert lmscore._wide(lmscore._narrow(np.array([1, top, 0])), 3).tolist() == [1, top, 0]
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 2_000, "bucket_bytes": 1_000}])
+def test_losses_by_brute_force(spark, docs, rows, options):
+    """Every document against a model counted anew from all others, by words; in one block and in many blocks and buckets."""
     aimed = set(range(0, 30))
     aim = spark.createDataFrame([(i,) for i in aimed], "doc_id long")
-    got = Counter((r["id"], r["n_tokens"], r["target_loss"] and round(r["target_loss"], 6), r["background_loss"] and round(r["background_loss"], 6)) for r in lmscore.score_documents(docs, aim, vocab=40).collect())
-    words = [lmscore.words(r["text"]) for r in rows]
-    top = {w for w, _ in sorted(Counter(w for x in words for w in x).items(), key=lambda p: (-p[1], p[0]))[:40]}
-    ids = [["<s>", *(w if w in top else "?" for w in x)] if x else [] for x in words]
+    got = Counter((r["id"], r["n_tokens"], r["target_loss"] and round(r["target_loss"], 6), r["background_loss"] and round(r["background_loss"], 6)) for r in lmscore.score_documents(docs, aim, **options).collect())
+    ids = [["<s>", *x] if x else [] for x in (lmscore.words(r["text"]) for r in rows)]
+    size = len({w for x in ids for w in x})
     want = Counter()
     for i, x in enumerate(ids):
         losses = []
@@ -527,12 +536,20 @@ def test_losses_by_brute_force(spark, docs, rows):
             others = [y for j, y in enumerate(ids) if j != i and (not target or rows[j]["doc_id"] in aimed)]
             one, two = Counter(w for y in others for w in y), Counter(p for y in others for p in zip(y, y[1:]))
             total = sum(one.values())
-            bits = [-math.log2(0.7 * min(two[a, b] / max(one[a], 1), 1) + 0.3 * (one[b] + 0.5) / (total + 0.5 * 42)) for a, b in zip(x, x[1:])]
+            bits = [-math.log2(0.7 * two[a, b] / max(one[a], 1) + 0.3 * (one[b] + 0.5) / (total + 0.5 * size)) for a, b in zip(x, x[1:])]
             losses.append(round(sum(bits) / len(bits), 6) if bits else None)
         want[(rows[i]["doc_id"], max(0, len(x) - 1), *losses)] += 1
     assert got == want
 
 
+def test_a_second_copy_lowers_the_background_loss(spark):
+    """Rare words count: of two texts of words that nothing else holds, the one that occurs twice is better known."""
+    texts = [f"the house of number {i} stands here" for i in range(300)] + ["qux quux corge grault garply waldo", "plugh xyzzy thud fred wibble wobble", "plugh xyzzy thud fred wibble wobble"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in lmscore.score_documents(docs, docs.where("doc_id < 100").select("doc_id")).collect()}
+    assert got[301]["background_loss"] + 3 < got[300]["background_loss"] and got[301]["difference"] > got[300]["difference"] + 3
+
+
 def test_being_labelled_changes_no_score(spark):
     docs = spark.createDataFrame([(i, f"the {'cat' if i % 2 else 'dog'} number {i * 7919} sat by {i * 31} and w{i}") for i in range(200)], "doc_id long, text string")
     aim = spark.createDataFrame([(i,) for i in range(1, 100, 2)], "doc_id long")
