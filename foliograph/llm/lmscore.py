@@ -56,14 +56,20 @@ def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes each as the largest needs."""
-    top = int(x.max(initial=0))
-    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
+    """Whole numbers from 0 in as few bytes each as the largest needs, lowest bytes first, then compressed."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _wide(data, n: int) -> np.ndarray:
     """The ``n`` numbers that ``_narrow`` packed."""
-    return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
+    data = memoryview(data)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = pa.decompress(data[1:], data[0] * n, "zstd", asbytes=True)
+        out[:, : data[0]] = np.frombuffer(planes, np.uint8).reshape(data[0], n).T
+    return out.view("<u8").ravel()
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -136,12 +142,8 @@ class Block:
         return out[0], out[1]
 
 
-def ask(rows: DataFrame, bits: int, block_bytes: int) -> DataFrame:
-    """Blocks and what they ask for, from rows (id, text, aim).
-
-    Bucket -1 holds a block: its ids, word keys, word numbers (``n``), and lengths with target marks
-    (``aimed``). The others hold its keys in that bucket, and their counts in all and in target rows.
-    """
+def blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Rows (id, text, aim) as blocks: their ids, word keys, word numbers, and lengths with target marks in the lowest bit."""
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
@@ -149,26 +151,37 @@ def ask(rows: DataFrame, bits: int, block_bytes: int) -> DataFrame:
             aims = batch.column(2).to_pylist()
             for at, texts in text_slices(batch, 1, 1 << 20, block_bytes):
                 b = Block.read(texts, aims[at : at + len(texts)])
-                every, aimed = b.counts()
-                cuts = b.cuts(bits)
-                held = np.flatnonzero(np.diff(cuts))
-                spans = list(zip(cuts[held].tolist(), cuts[held + 1].tolist()))
-                ids = pa.ListArray.from_arrays(pa.array([0, len(texts), *[len(texts)] * len(held)], pa.int32()), batch.column(0).slice(at, len(texts)))
-                yield pa.record_batch(
-                    [
-                        pa.array([block] * (len(held) + 1), pa.int64()),
-                        pa.array([-1, *held.tolist()], pa.int32()),
-                        ids,
-                        pa.array([b.word_keys.tobytes(), *(b.keys[x:y].tobytes() for x, y in spans)], pa.binary()),
-                        pa.array([_narrow(b.seq), *(_narrow(every[x:y]) for x, y in spans)], pa.binary()),
-                        pa.array([(b.lengths * 2 + b.aims).tobytes(), *(_narrow(aimed[x:y]) for x, y in spans)], pa.binary()),
-                    ],
-                    names=["block", "bucket", "ids", "keys", "n", "aimed"],
-                )
+                ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0).slice(at, len(texts)))
+                packed = [pa.array([x], pa.binary()) for x in (b.word_keys.tobytes(), _narrow(b.seq), _narrow(b.lengths * 2 + b.aims))]
+                yield pa.record_batch([pa.array([block], pa.int64()), ids, *packed], names=["block", "ids", "words", "seq", "lengths"])
                 block += 1
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text", "aim").mapInArrow(run, f"block long, bucket int, ids array<{kind}>, keys binary, n binary, aimed binary")
+    return rows.select("id", "text", "aim").mapInArrow(run, f"block long, ids array<{kind}>, words binary, seq binary, lengths binary")
+
+
+def _unpack(n_docs: int, word_keys, seq, lengths) -> Block:
+    packed = _wide(lengths.as_buffer(), n_docs).astype(np.int64)
+    long = packed >> 1
+    return Block(_wide(seq.as_buffer(), int(long.sum())).astype(np.int64), long, packed & 1, np.frombuffer(word_keys.as_buffer(), np.uint64))
+
+
+def ask(held: DataFrame, bits: int) -> DataFrame:
+    """What blocks ask of each bucket: steps between sorted keys, and the block's own counts in all and in target rows."""
+
+    def run(batches):
+        for batch in batches:
+            for k, block in enumerate(batch.column("block").to_pylist()):
+                b = _unpack(len(batch.column("ids")[k]), *(batch.column(c)[k] for c in ("words", "seq", "lengths")))
+                every, aimed = b.counts()
+                cuts = b.cuts(bits)
+                some = np.flatnonzero(np.diff(cuts))
+                spans = [slice(cuts[c], cuts[c + 1]) for c in some]
+                packed = [[_narrow(np.diff(b.keys[x], prepend=np.uint64(0))) for x in spans], [_narrow(every[x]) for x in spans], [_narrow(aimed[x]) for x in spans]]
+                numbers = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([x.stop - x.start for x in spans], pa.int32())]
+                yield pa.record_batch([*numbers, *(pa.array(x, pa.binary()) for x in packed)], names=["block", "bucket", "size", "keys", "n", "aimed"])
+
+    return held.mapInArrow(run, "block long, bucket int, size int, keys binary, n binary, aimed binary")
 
 
 def answer(asked: DataFrame) -> DataFrame:
@@ -176,14 +189,15 @@ def answer(asked: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["keys"]]
-        ends = np.cumsum([len(k) for k in keys])
+        sizes = group["size"].to_pylist()
+        keys = [np.cumsum(_wide(x.as_buffer(), n)) for x, n in zip(group["keys"], sizes)]
+        ends = np.cumsum(sizes)
         seen, where = np.unique(np.concatenate(keys), return_inverse=True)
         packed, sums = [], []
         for name in ("n", "aimed"):
-            own = np.concatenate([_wide(x.as_buffer(), len(k)) for x, k in zip(group[name], keys)])
+            own = np.concatenate([_wide(x.as_buffer(), n) for x, n in zip(group[name], sizes)])
             sums.append(np.zeros(len(seen), np.int64))
-            np.add.at(sums[-1], where, own)
+            np.add.at(sums[-1], where, own.astype(np.int64))
             packed.append([_narrow(x) for x in np.split(sums[-1][where], ends[:-1])])
         word = (seen & np.uint64(1)) == 0
         rest = [None] * len(keys)
@@ -199,39 +213,38 @@ def answer(asked: DataFrame) -> DataFrame:
             }
         )
 
-    return asked.where("bucket >= 0").select("block", "bucket", "keys", "n", "aimed").groupBy("bucket").applyInArrow(run, "block long, bucket int, n binary, aimed binary, size long, total long, aim_total long")
+    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, n binary, aimed binary, size long, total long, aim_total long")
 
 
 def score_documents(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", mix: float = 0.7, smooth: float = 0.5, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", mix: float = 0.7, smooth: float = 0.5, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20
 ) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, difference) of every row of ``docs``; ``target`` holds the ids of the target documents in its first column."""
     rows = flagged(docs, target, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = max(0, (size // bucket_bytes).bit_length())
-    asked = materialise(ask(rows, bits, block_bytes), "asked")
-    answered = materialise(answer(asked), "answered")
+    held = materialise(blocks(rows, block_bytes), "blocks")
+    answered = materialise(answer(ask(held, bits)), "answered")
     totals = tuple(x or 0 for x in answered.where("block < 0").agg(F.sum("size"), F.sum("total"), F.sum("aim_total")).first())
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         bucket = group["bucket"].to_pylist()
-        k = bucket.index(-1)
-        packed = np.frombuffer(group["aimed"][k].as_buffer(), np.int64)
-        lengths, aims = packed >> 1, packed & 1
-        b = Block(_wide(group["n"][k].as_buffer(), int(lengths.sum())), lengths, aims, np.frombuffer(group["keys"][k].as_buffer(), np.uint64))
+        k = bucket.index(None)  # the block's own row
+        ids = group["ids"].chunk(0).slice(k, 1).flatten()
+        b = _unpack(len(ids), *(group[c][k] for c in ("words", "seq", "lengths")))
         cuts = b.cuts(bits)
         sums = np.zeros((2, len(b.keys)), np.int64)
         for j, c in enumerate(bucket):
-            if c >= 0:
+            if c is not None:
                 for row, name in zip(sums, ("n", "aimed")):
                     row[cuts[c] : cuts[c + 1]] = _wide(group[name][j].as_buffer(), int(cuts[c + 1] - cuts[c]))
         t, g = b.losses(sums[0], sums[1], totals, mix, smooth)
-        none = lengths == 0
+        none = b.lengths == 0
         return pa.table(
             {
-                "id": group["ids"].chunk(0).slice(k, 1).flatten(),
-                "n_tokens": pa.array(np.maximum(lengths - 1, 0), pa.int64()),
+                "id": ids,
+                "n_tokens": pa.array(np.maximum(b.lengths - 1, 0), pa.int64()),
                 "target_loss": pa.array(t, pa.float64(), mask=none),
                 "background_loss": pa.array(g, pa.float64(), mask=none),
                 "difference": pa.array(t - g, pa.float64(), mask=none),
@@ -239,6 +252,5 @@ def score_documents(
         )
 
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = asked.where("bucket < 0")
     found = answered.where("block >= 0").select("block", "bucket", "n", "aimed")
-    return blocks.unionByName(found, allowMissingColumns=True).groupBy("block").applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
+    return held.unionByName(found, allowMissingColumns=True).groupBy("block").applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
