@@ -265,14 +265,17 @@ def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(joined.alias("text"))
 
 
+#: In SQL a part's number is its document's number times this, plus its place; no text is as long.
+PART_BASE = 1 << 32
+
 SQL_FUSION = f"""WITH {SQL_DOCS}, {SQL_DOC_IDF}, {SQL_BENCH}, conv AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id), n AS (SELECT count(*) AS n FROM conv),
 {sql_bag('r', 'conv', 'conv_id', 'text')}, {sql_idf('rw', 'r', 'SELECT n FROM n')}, {sql_overlap('rs', 'q', 'r', 'rw')}, {sql_overlap('ds', 'q', 'd', 'w')},
 rt AS (SELECT * FROM rs QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) <= 10),
 dt AS (SELECT query, id, id % (SELECT n FROM n) AS repo, score FROM ds QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) <= 10),
 repos AS (SELECT query, id AS repo FROM rt UNION SELECT query, repo FROM dt),
-p AS (SELECT doc_id * 100000 + i AS id, part FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE doc_id IN (SELECT id FROM dt)),
+p AS (SELECT doc_id * {PART_BASE} + i AS id, part FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE doc_id IN (SELECT id FROM dt)),
 {sql_bag('pb', 'p', 'id', 'part')}, {sql_overlap('ps', 'q', 'pb', 'w')},
-pt AS (SELECT ps.query, ps.id, dt.repo, 0.75 * ps.score + 0.25 * dt.score AS score FROM ps JOIN dt ON dt.query = ps.query AND dt.id = ps.id // 100000 QUALIFY row_number() OVER (PARTITION BY ps.query ORDER BY round(0.75 * ps.score + 0.25 * dt.score, 9) DESC, ps.id) <= 12),
+pt AS (SELECT ps.query, ps.id, dt.repo, 0.75 * ps.score + 0.25 * dt.score AS score FROM ps JOIN dt ON dt.query = ps.query AND dt.id = ps.id // {PART_BASE} QUALIFY row_number() OVER (PARTITION BY ps.query ORDER BY round(0.75 * ps.score + 0.25 * dt.score, 9) DESC, ps.id) <= 12),
 f AS (SELECT query, repo, sum(s) AS score, count(*) AS hits FROM (SELECT query, id AS repo, score AS s FROM rt UNION ALL SELECT query, repo, 0.9 * score FROM dt UNION ALL SELECT query, repo, 0.6 * score FROM pt) GROUP BY query, repo)
 SELECT query AS item_id, repo AS conv_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, repo)::INTEGER AS rank, round(score, 6) AS score, hits FROM f QUALIFY rank <= 5"""
 
@@ -605,10 +608,10 @@ def range_join_coverage(spark, sf_dir):
     return j.groupBy("o_orderkey").agg(F.count("*").alias("n_lines"), F.count_if(inside).alias("covered"), r6(F.count_if(inside) / F.count("*")).alias("coverage"))
 
 
-@query(f"""WITH {SQL_BENCH}, k AS (SELECT doc_id * 100000 + o AS id, substr(text, o + 1, 1200) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS o FROM documents WHERE length(text) > 0)),
+@query(f"""WITH {SQL_BENCH}, k AS (SELECT doc_id * {PART_BASE} + o AS id, substr(text, o + 1, 1200) AS part FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS o FROM documents WHERE length(text) > 0)),
 {sql_bag('d', 'k', 'id', 'part')}, {sql_idf('w', 'd', 'SELECT count(*) FROM k')}, {sql_overlap('s', 'q', 'd', 'w', 0.55, 0.23, 0.02, 0.12)},
 t AS (SELECT query, id, score, shared, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM s WHERE shared >= 2 QUALIFY rank <= 3)
-SELECT query AS item_id, id // 100000 AS doc_id, (id % 100000)::BIGINT AS start, CASE WHEN rank = 1 THEN 1 ELSE 0 END AS label, round(score, 6) AS score, shared FROM t WHERE query IN (SELECT query FROM t WHERE rank = 1 AND round(score, 9) >= 0.14)""")
+SELECT query AS item_id, id // {PART_BASE} AS doc_id, (id % {PART_BASE})::BIGINT AS start, CASE WHEN rank = 1 THEN 1 ELSE 0 END AS label, round(score, 6) AS score, shared FROM t WHERE query IN (SELECT query FROM t WHERE rank = 1 AND round(score, 9) >= 0.14)""")
 def span_alignment(spark, sf_dir):
     """Each benchmark item's best chunk if it scores 0.14 or more, and its next two as hard negatives."""
     chunked = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"), 1200, 200)).alias("c")).select(part_of("doc_id", "c.offset").alias("id"), F.col("c.chunk").alias("part"))

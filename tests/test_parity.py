@@ -1,7 +1,10 @@
 """Every query with SQL agrees with it on the smallest tables; the others return rows."""
 
 import os
+import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from foliograph.plans import catalogue
@@ -25,3 +28,21 @@ def test_query(spark, con, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+@pytest.mark.parametrize("name", ["span_alignment", "three_lane_fusion"])
+def test_parts_of_very_long_texts(spark, tmp_path, name):
+    """A text of over 100,000 characters and lines keeps its parts apart from the next document's."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    passage = [" ".join(rng.sample(words, 30)) for _ in range(3)]
+    filler = "x\n" * 110_000
+    texts = [filler + passage[0] + "\n" + passage[1], passage[2] + "\n" + "y\n" * 300 + passage[0][:90], " ".join(rng.sample(words, 60)), "", None]
+    pq.write_table(pa.table({"doc_id": [0, 1, 2, 3, 4], "text": texts, "lang": ["en"] * 5, "source": ["s"] * 5, "n_chars": [len(t or "") for t in texts]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [0, 1, 2], "text": passage}), tmp_path / "benchmark.parquet")
+    pq.write_table(pa.table({"conv_id": [0, 0, 1], "turn": [0, 1, 0], "role": ["user"] * 3, "text": [passage[1], "and so on", passage[2]]}), tmp_path / "conversations.parquet")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(connect(str(tmp_path)).sql(catalogue.ORACLES[name]).df())
+    assert len(got)
+    if name == "span_alignment":
+        assert ((got["doc_id"] == 0) & (got["start"] > 100_000)).any()
