@@ -28,17 +28,14 @@ def bottom_k(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(k)
 
 
-def greedy_quota(df: DataFrame, order: list, per_a: str, cap_a: int, per_b: str, cap_b: int, schema: str) -> DataFrame:
-    """Rows taken best first while neither of their two groups is full; ``per_b`` groups are independent of each other."""
-    import pandas as pd
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        keep = []
-        for a in pdf.sort_values([c for c, _ in order], ascending=[up for _, up in order])[per_a]:
-            full = sum(keep) >= cap_b or used.get(a, 0) >= cap_a
-            keep.append(not full)
-            used[a] = used.get(a, 0) + (not full)
-        return pdf.sort_values([c for c, _ in order], ascending=[up for _, up in order])[keep]
-
-    return df.groupBy(per_b).applyInPandas(take, schema)
+def greedy_quota(df: DataFrame, order: list, per_a: str, cap_a: int, per_b: str, cap_b: int) -> DataFrame:
+    """Rows taken best first while neither of their two groups is full; ``per_b`` groups are independent of each other.
+
+    While a ``per_b`` group has room, its rows of one ``per_a`` are taken until there are ``cap_a``, and no later one is. So
+    the rows taken are the first ``cap_b`` of those among the first ``cap_a`` of both groups, and both ranks prune before
+    their shuffle. Nulls come last in the order and form a group of their own.
+    """
+    by = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    for keys, cap in (([per_b, per_a], cap_a), ([per_b], cap_b)):
+        df = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("__rank") <= cap).drop("__rank")
+    return df

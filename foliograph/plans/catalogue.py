@@ -622,11 +622,13 @@ def span_alignment(spark, sf_dir):
     return top.join(good, "query", "left_semi").select(F.col("query").alias("item_id"), F.col("id.doc").alias("doc_id"), F.col("id.at").alias("start"), (F.col("rank") == 1).cast("int").alias("label"), r6("score").alias("score"), "shared")
 
 
-@query()
+@query("""WITH a AS (SELECT doc_id, source, coalesce(lang, '') AS lang, n_chars, row_number() OVER (PARTITION BY source, coalesce(lang, '') ORDER BY n_chars DESC NULLS LAST, doc_id) AS k FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS r FROM a WHERE k <= 3)
+SELECT doc_id, source, lang, n_chars FROM b WHERE r <= 8""")
 def greedy_quota(spark, sf_dir):
     """Documents by length within each source, up to 3 a language and 8 a source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("lang"), "n_chars")
-    return samples.greedy_quota(docs, [("n_chars", False), ("doc_id", True)], "lang", 3, "source", 8, "doc_id long, source string, lang string, n_chars long")
+    return samples.greedy_quota(docs, [("n_chars", False), ("doc_id", True)], "lang", 3, "source", 8)
 
 
 # Samples and hashes

@@ -1,6 +1,8 @@
 """Small hand-made inputs: ties, nulls, empty texts and the like."""
 
 import math
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -165,3 +167,18 @@ def test_chunks_of_long_texts_keep_their_document(spark, tmp_path):
     spark.createDataFrame([(1, ask)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     best = catalogue.QUERIES["span_alignment"](spark, str(tmp_path)).where("label = 1").collect()
     assert [(r["doc_id"], r["start"]) for r in best] == [(1, 101_000)]
+
+
+def test_greedy_quota_by_a_loop(spark):
+    rng = random.Random(11)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice("uvwxyz"), rng.choice([1, 2, 3, 50, None])) for i in range(400)]
+    for cap_a, cap_b in ((3, 8), (1, 4), (50, 7), (2, 100)):
+        want, used, total = set(), Counter(), Counter()
+        for i, b, a, n in sorted(data, key=lambda r: (r[3] is None, -(r[3] or 0), r[0])):
+            if used[b, a] < cap_a and total[b] < cap_b:
+                used[b, a] += 1
+                total[b] += 1
+                want.add(i)
+        df = spark.createDataFrame(data, "id long, b string, a string, n long")
+        assert {r["id"] for r in samples.greedy_quota(df, [("n", False), ("id", True)], "a", cap_a, "b", cap_b).collect()} == want
+    assert samples.greedy_quota(df.limit(0), [("n", False)], "a", 1, "b", 1).count() == 0
