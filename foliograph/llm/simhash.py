@@ -232,36 +232,41 @@ def _wide_keys(classes: DataFrame) -> DataFrame:
     return classes.where("words is not null").select("row", "size", "words").mapInArrow(run, "key long, row long, size long, part long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) of rows whose shingle sets are alike; sets are made anew of those rows only."""
-    wanted = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, set): the shingle sets of the ``rows`` (row, text) in ``wanted`` (row), made anew and written."""
 
     def run(batches):
         for batch in batches:
             for at, texts in text_slices(batch, 1):
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array([shingle_set(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["row", "set"])
 
-    sets = materialise(rows.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, set array<long>"), "sets")
+    return materialise(rows.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, set array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) of rows whose ``sets`` (row, set) are alike."""
     both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("b")), "v")
     common, (above, below) = F.size(F.array_intersect("a", "b")), similarity
-    links = materialise(both.where((above + below) * common >= above * (F.size("a") + F.size("b"))).select("u", "v"), "links")
-    discard(sets)
-    return links
+    return materialise(both.where((above + below) * common >= above * (F.size("a") + F.size("b"))).select("u", "v"), "links")
 
 
 def near_links(rows: DataFrame, classes: DataFrame, similarity: tuple[int, int] = (4, 5), flips: int = 20, after: int = 4, nearest: int = 8) -> DataFrame:
-    """(u, v): pairs of ``classes`` (row, size, words) whose sets of five-word shingles share ``similarity`` (a fraction)
-    of their union, or more; ``rows`` (row, text) has their texts.
-
-    Texts with one key lie in a bucket, in order of the 64 bits of ``part``. Each is held against the ``after`` next and the
-    bucket's first, if ``flips`` or fewer of these bits differ; the ``nearest`` of those, and the two with the smallest
-    numbers, are verified on whole texts. So a bucket of any size costs rows in proportion to it, and a group of
-    near copies hangs together by its neighbours in 96 orders and by its smallest members.
+    """(u, v): links that hang together as do all pairs of ``classes`` (row, size, words) that have a key in common and
+    whose sets of five-word shingles share ``similarity`` (a fraction) of their union, or more; ``rows`` (row, text)
+    has their texts.
+
+    Texts with one key lie in a bucket, in order of the 64 bits of ``part``. First each is held against the ``after``
+    next and the bucket's first, if ``flips`` or fewer of these bits differ; the ``nearest`` of those, and the two with
+    the smallest numbers, are verified on whole texts. This joins most groups at a cost in proportion to the buckets.
+    Then the rows of buckets that these links leave in two groups or more are joined exactly, by their shingles
+    (``_between_groups``): no pair of them that is alike is left in two groups, however large a bucket is.
     """
     above, below = similarity
+    by_key = Window.partitionBy("key").orderBy("part", "row")
+    beside = F.lead("row").over(by_key).isNotNull() | F.lag("row").over(by_key).isNotNull()
+    buckets = materialise(_wide_keys(classes).withColumn("beside", beside).where("beside").drop("beside"), "buckets")
     here = F.struct("row", "size", "part")
-    order = Window.partitionBy("key").orderBy("part", "row")
-    met = _wide_keys(classes).withColumn("met", F.array(*(F.lead(here, k).over(order) for k in range(1, after + 1)), F.first(here).over(order)))
+    met = buckets.withColumn("met", F.array(*(F.lead(here, k).over(by_key) for k in range(1, after + 1)), F.first(here).over(by_key)))
 
     def near(other):
         alike = F.bit_count(F.col("part").bitwiseXOR(other["part"])) <= flips
@@ -272,7 +277,39 @@ def near_links(rows: DataFrame, classes: DataFrame, similarity: tuple[int, int]
     by_far, by_row = Window.partitionBy("row").orderBy("far", "other"), Window.partitionBy("row").orderBy("other")
     found = found.withColumn("a", F.row_number().over(by_far)).withColumn("b", F.row_number().over(by_row)).where((F.col("a") <= nearest) | (F.col("b") <= 2))
     pairs = materialise(found.select(F.least("row", "other").alias("u"), F.greatest("row", "other").alias("v")).distinct(), "pairs")
-    return _verified(pairs, rows, similarity)
+    sets = _sets(rows, pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct())
+    groups = connected_components(_verified(pairs, sets, similarity), "near-first")
+    discard(sets)
+    named = buckets.join(groups.select(F.col("u").alias("row"), F.col("v").alias("root")), "row", "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = materialise(named.join(mixed, "key", "left_semi").select("row", "size", "root").distinct(), "apart")
+    discard(buckets)
+    sets = _sets(rows, apart)
+    rest = materialise(_between_groups(apart.join(sets, "row"), similarity), "rest")
+    return groups.unionByName(_verified(rest, sets, similarity))
+
+
+def _between_groups(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(u, v), u < v: candidates among ``rows`` (row, size, root, set), with every pair that is alike and of two groups (root).
+
+    Shingles are ordered by how many rows have them, those of a single group first. The first one that an alike pair has
+    in common stands early in both: with c or more in common, no later than the c-th from the end (``left`` counts
+    from there). So only the early shingles of each row meet, and a row with too many of its own meets none. A
+    shingle's rows outside of its largest group are held against all of its rows.
+    """
+    above, below = similarity
+    each = rows.select("row", "size", "root", F.explode("set").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle", "n")
+    by_often = Window.partitionBy("row").orderBy("n", "shingle")
+    placed = each.join(often, "shingle").withColumn("left", F.count("*").over(Window.partitionBy("row")) - F.row_number().over(by_often) + 1)
+    early = materialise(placed.where(below * F.col("left") >= above * F.col("size")).select("shingle", "row", "size", "root", "left"), "early")
+    groups = early.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    mixed = groups.groupBy("shingle").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).getField("root").alias("main")).where("roots > 1").select("shingle", "main")
+    member = early.join(mixed, "shingle")
+    minor = member.where("root <> main").select("shingle", F.col("row").alias("u"), F.col("size").alias("u_size"), F.col("root").alias("u_root"), F.col("left").alias("u_left"))
+    both = minor.join(member, "shingle").where("u_root <> root and (root = main or u < row)")
+    both = both.where((above + below) * F.least("u_left", "left") >= above * (F.col("u_size") + F.col("size")))
+    return both.select(F.least("u", "row").alias("u"), F.greatest("u", "row").alias("v")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -182,6 +182,39 @@ def test_large_groups_of_near_copies(spark):
     assert set(group) <= got and len(texts) - len(got) >= 0.9 * (len(texts) - len(set(group)))
 
 
+def test_no_link_of_a_bucket_is_dropped(spark):
+    """A bucket of 250 rows, most pairs of them just under the similarity: all that must go do, by all pairs."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(250):
+        w = list(base)
+        for _ in range(rng.choice([2, 5, 6])):
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == set(shingle_classes(texts))
+
+
+def test_candidates_between_groups(spark):
+    """Every alike pair of two groups is a candidate, by brute force; pairs of one group are none."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for k in range(40):
+        base = rng.choice(10**6, rng.integers(1, 60), replace=False)
+        for _ in range(6):
+            a = base[rng.random(len(base)) < rng.choice([0.8, 0.95, 1.0])]
+            sets.append(sorted({*a.tolist(), *rng.choice(50, rng.integers(1, 4)).tolist()}))
+    rows = [(i, len(x), int(rng.integers(0, 3)) if i % 2 else 1000 + i, x) for i, x in enumerate(sets)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2] and 5 * len({*a[3]} & {*b[3]}) >= 4 * len({*a[3]} | {*b[3]})}
+    df = spark.createDataFrame(rows, "row long, size long, root long, set array<long>").repartition(3)
+    got = [tuple(r) for r in simhash._between_groups(df, (4, 5)).collect()]
+    root = {r[0]: r[2] for r in rows}
+    assert len(got) == len(set(got)) and want and want <= set(got) and all(u < v and root[u] != root[v] for u, v in got)
+
+
 def test_wide_keys_find_near_copies():
     """The share of pairs that meet by a key: words changed here and there, and the end cut off."""
     rng = np.random.default_rng(6)
