@@ -286,7 +286,9 @@ def near_links(rows: DataFrame, classes: DataFrame, similarity: tuple[int, int]
     discard(buckets)
     sets = _sets(rows, apart)
     rest = materialise(_between_groups(apart.join(sets, "row"), similarity), "rest")
-    return groups.unionByName(_verified(rest, sets, similarity))
+    links = _verified(rest, sets, similarity)
+    discard(sets)
+    return groups.unionByName(links)
 
 
 def _between_groups(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
